@@ -13,8 +13,8 @@ have agreeing segments; so the join on segments loses no link.
 
 Segment keys travel as packed blocks: one row for each batch of texts and bucket.
 A bucket's task keeps only keys that several classes share.  Then every class is
-verified against one class that shares a key with it, and what is linked becomes
-one component; only pairs that share a key *and* lie in different components remain
+verified against one class that shares a key with it (first by the Hamming distance
+of short dense sketches, then exactly), and what is linked becomes one component; only pairs that share a key *and* lie in different components remain
 to be verified.  Where one key joins very many such pairs (a passage that many
 texts carry), its classes must also agree on a segment of a second, independently
 seeded sketch, and so on.
@@ -221,12 +221,42 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000].view(np.int64)), pa.array(id_[a : a + 200_000])], ["key", "id"])
 
 
+def bit_sketch(s: np.ndarray) -> np.ndarray:
+    """Parity sketch of about four bits a shingle, packed; a power of two of bits, so that sketches can be folded."""
+    bits = 1 << max(6, int(np.ceil(np.log2(max(1, 4 * len(s))))))
+    at = (s & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8))
+
+
+def hamming(p: np.ndarray, q: np.ndarray) -> int:
+    """Hamming distance of two sketches, the longer folded to the length of the shorter."""
+    n = min(len(p), len(q))
+    p, q = (np.bitwise_xor.reduce(x.reshape(-1, n), axis=0) for x in (p, q))
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def _near_sketches(percent: int):
+    """Drops pairs whose sketches differ in more bits than the sets of a link may differ in."""
+
+    def run(batches):
+        for batch in batches:
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = [
+                hamming(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) * (100 + percent) <= (100 - percent) * n
+                for x, y, n in zip(batch.column("pa"), batch.column("pb"), total.tolist())
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _emit_sets(size: int):
     def run(batches):
         for batch in batches:
             for a, b, s, n in _sets(batch.column("text"), size):
                 bounds = np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([s[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], ["id", "s"])
+                each = [s[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([bit_sketch(x).tobytes() for x in each], pa.binary())], ["id", "s", "p"])
 
     return run
 
@@ -291,19 +321,18 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     chosen = scratch.save(
         named.where("id <> 0").join(shared_ids, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     )
-    texts = scratch.save(docs.join(chosen.select("doc_id", "id").where("doc_id is not null"), "doc_id").dropDuplicates(["id"]).select("id", "text").mapInArrow(_emit_sets(size), "id long, s binary")) if total else None
+    texts = scratch.save(docs.join(chosen.select("doc_id", "id").where("doc_id is not null"), "doc_id").dropDuplicates(["id"]).select("id", "text").mapInArrow(_emit_sets(size), "id long, s binary, p binary")) if total else None
     if texts is None:
         return named.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     sizes = chosen.select("id", "n")
+    sketches = scratch.save(texts.select("id", "p").join(sizes, "id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that are links."""
-        near = (
-            pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-            .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-            .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-            .select("a", "b")
-        )
+        a, b = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
+        sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+        sized = sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
+        near = scratch.save(sized.join(a, "a").join(b, "b").mapInArrow(_near_sketches(percent), "a long, b long"))
         full = near.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         return full.mapInArrow(_verify(percent), "a long, b long")
 
