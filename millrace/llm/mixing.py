@@ -134,3 +134,10 @@ c AS (SELECT d.doc_id, d.size, f.source_size, f.target,
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 3) AS target,
     CAST(r * size + greatest(0, least(size, round(target - r * source_size) - ahead)) AS BIGINT) AS taken FROM c
 """
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word (n >= 1), white space kept."""
+    ends = F.regexp_extract_all(text, F.lit(rf"({WORDS})[\x20\x09-\x0D]*"), F.lit(0))
+    lead = F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0)
+    return F.regexp_replace(F.concat(lead, F.array_join(F.slice(ends, F.lit(1), n.cast("int")), "")), r"[\x20\x09-\x0D]+$", "")

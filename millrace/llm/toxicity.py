@@ -27,7 +27,7 @@ from .textblocks import U, hash_of, mix, shingles, slices, word_hashes
 #: At most so many labelled rows are used for fitting.
 FIT_ROWS = 20_000
 #: At most so many mined words, each in this share of the distinct toxic texts and so much likelier there.
-MINED_WORDS, MINED_SHARE, MINED_LOG_ODDS = 100, 0.06, 3.0
+MINED_WORDS, MINED_SHARE, MINED_LOG_ODDS = 200, 0.008, 3.0
 #: Words of insult to start from.
 SEEDS = (
     "idiot idiots moron morons imbecile stupid dumb dumbass fool loser losers scum scumbag trash garbage filth vermin worthless pathetic "
@@ -145,15 +145,15 @@ def mine(rows: DataFrame) -> list[str]:
         return []
     found = rows.mapInArrow(_distinct_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") - F.col("t") + 0.5) / (n[0] + 1))
-    found = found.where(F.col("t") >= max(5, MINED_SHARE * n[1])).withColumn("odds", odds).where(F.col("odds") >= MINED_LOG_ODDS)
+    found = found.where(F.col("t") >= max(6, MINED_SHARE * n[1])).withColumn("odds", odds).where(F.col("odds") >= MINED_LOG_ODDS)
     return [r["word"] for r in found.orderBy(F.desc("odds"), "word").limit(MINED_WORDS).collect()]
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 for each row, each voter's firing rates (2 x voters) and weights.
 
-    A voter that others repeat counts less: its weight is one over one plus the
-    positive correlations of what the classes leave unexplained.
+    A voter that another repeats counts less: its weight is one over one plus the
+    largest correlation with another of what the classes leave unexplained.
     """
     q = np.clip(start.astype(float), 0.02, 0.98)
     v = votes.astype(float)
@@ -168,7 +168,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple
         c[sd < 1e-6] = 0
         c[:, sd < 1e-6] = 0
         np.fill_diagonal(c, 0)
-        weight = 1 / (1 + np.clip(c, 0, 1).sum(1))
+        weight = 1 / (1 + np.clip(c, 0, 1).max(1))
         prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
         on = weight * np.log(rates[1] / rates[0])
         off = weight * np.log((1 - rates[1]) / (1 - rates[0]))
