@@ -14,10 +14,10 @@ have agreeing segments; so the join on segments loses no link.
 Segment keys travel as packed blocks: one row for each batch of texts and bucket.
 A bucket's task keeps only keys that several classes share.  Then every class is
 verified against one class that shares a key with it (first by the Hamming distance
-of short dense sketches, then exactly), and what is linked becomes one component; only pairs that share a key *and* lie in different components remain
-to be verified.  Where one key joins very many such pairs (a passage that many
-texts carry), its classes must also agree on a segment of a second, independently
-seeded sketch, and so on.
+of short dense sketches, then exactly), and what is linked becomes one component; only pairs that share a key *and* lie in different components remain,
+and are compared group by group, sketches first.  Where one key joins very many such
+pairs (a passage that many texts carry), its classes must also agree on a segment of
+a second, independently seeded sketch, and so on.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from .components import components
 from .scratch import Scratch, shuffle_width
 from .textblocks import U, mix, mix1, shingle_sets, slices, word_hashes
 
-#: Pairs to verify for each class under one key beyond which the key is refined.
-REFINE_AT = 24
+#: Pairs of different components, or classes, under one key beyond which the key is refined.
+REFINE_PAIRS, REFINE_CLASSES = 2_000_000, 100_000
 #: Refinements of a key before all its pairs are verified as they are.
 REFINE_LEVELS = 5
 _FLUSH_KEYS = 1_500_000
@@ -222,8 +222,8 @@ def _shared(batches):
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
-    """Parity sketch of about four bits a shingle, packed; a power of two of bits, so that sketches can be folded."""
-    bits = 1 << max(6, int(np.ceil(np.log2(max(1, 4 * len(s))))))
+    """Parity sketch of two to four bits a shingle, packed; a power of two of bits, so that sketches can be folded."""
+    bits = 1 << max(6, int(np.ceil(np.log2(max(1, 2 * len(s))))))
     at = (s & U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8))
 
@@ -250,6 +250,56 @@ def _near_sketches(percent: int):
     return run
 
 
+def _group_pairs(percent: int):
+    """Rows (key, id, comp, n, p) sorted by key to pairs of one key, of different components, whose sketches are near."""
+
+    def near(ids, comp, n, p):
+        least = min(map(len, p))
+        m = np.stack([x if len(x) == least else np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in p])
+        m = m.view(U) if least % 8 == 0 else m
+        names, counts = np.unique(comp, return_counts=True)
+        others = np.flatnonzero(comp != names[counts.argmax()])  # a pair of two components has a member here
+        step = max(1, 4_000_000 // max(1, m.size))
+        for at in range(0, len(others), step):
+            i = others[at : at + step]
+            far = np.bitwise_count(m[i][:, None, :] ^ m[None, :, :]).sum(2, dtype=np.int64)
+            total = n[i][:, None] + n[None, :]
+            ok = (comp[i][:, None] != comp[None, :]) & (far * (100 + percent) <= (100 - percent) * total)
+            ok &= 100 * np.minimum(n[i][:, None], n[None, :]) >= percent * np.maximum(n[i][:, None], n[None, :])
+            x, y = np.nonzero(ok)
+            yield ids[i[x]], ids[y]
+
+    def run(batches):
+        held, done = None, []
+
+        def out():
+            a, b = (np.concatenate(c) for c in zip(*done))
+            done.clear()
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+        def groups(table, cuts):
+            ids, comp, n = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
+            p = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("p")]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                done.extend(z for z in near(ids[x:y], comp[x:y], n[x:y], p[x:y]) if len(z[0]))
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key = table.column("key").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1]) if len(key) else np.zeros(1, int)
+            groups(table, cuts)
+            held = table.slice(int(cuts[-1]))
+            if sum(len(a) for a, _ in done) > 100_000:
+                yield out()
+        if held is not None and held.num_rows:
+            groups(held, [0, held.num_rows])
+        if done:
+            yield out()
+
+    return run
+
+
 def _emit_sets(size: int):
     def run(batches):
         for batch in batches:
@@ -327,34 +377,36 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     sizes = chosen.select("id", "n")
     sketches = scratch.save(texts.select("id", "p").join(sizes, "id"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) that are links."""
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) whose sizes and sketches may belong to links."""
         a, b = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
         sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
         sized = sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-        near = scratch.save(sized.join(a, "a").join(b, "b").mapInArrow(_near_sketches(percent), "a long, b long"))
-        full = near.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        return sized.join(a, "a").join(b, "b").mapInArrow(_near_sketches(percent), "a long, b long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) that are links."""
+        full = pairs.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         return full.mapInArrow(_verify(percent), "a long, b long")
 
     # every class against the least class of its keys
     least = members.groupBy("key").agg(F.min("id").alias("m"))
     star = members.join(least, "key").groupBy("id").agg(F.min("m").alias("m")).where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b"))
-    links = scratch.save(verified(star))
+    links = scratch.save(verified(scratch.save(near(star))))
 
     seed = 0
     while True:
         comp = components(links, scratch)
         labelled = scratch.save(members.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
-        sizes_of = labelled.groupBy("key", "comp").agg(F.count("*").alias("m"))
-        open_keys = scratch.save(
-            sizes_of.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("c"))
-            .where("c > 1").select("key", (F.expr(f"(n * n - q) / 2 > {REFINE_AT} * n") & F.lit(seed < REFINE_LEVELS)).alias("hot"))
-        )
+        sizes_of = labelled.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h"))
+        per_key = sizes_of.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("c"), F.sum("h").alias("h"))
+        many = F.expr(f"(n * n - q) / 2 > {REFINE_PAIRS} or n > {REFINE_CLASSES}") & F.lit(seed < REFINE_LEVELS)
+        # keys that join the same classes are one
+        open_keys = scratch.save(per_key.where("c > 1").groupBy("n", "q", "c", "h").agg(F.min("key").alias("key")).select("key", many.alias("hot")))
         opened = labelled.join(open_keys, "key")
-        cold = opened.where("not hot")
-        left, right = (cold.select("key", F.col("id").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
-        pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        links = scratch.save(links.union(verified(pairs)))
+        cold = opened.where("not hot").select("key", "id", "comp").join(sketches, "id").select("key", "id", "comp", "n", "p")
+        pairs = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_group_pairs(percent), "a long, b long").distinct()
+        links = scratch.save(links.union(verified(scratch.save(pairs))))
         hot = opened.where("hot").groupBy("id").agg(F.collect_set("key").alias("hot"))
         if not open_keys.where("hot").limit(1).count():
             break
