@@ -15,7 +15,8 @@ Segment keys travel as packed blocks: one row for each batch of texts and bucket
 A bucket's task keeps only keys that several classes share.  Then every class is
 verified against one class that shares a key with it (first by the Hamming distance
 of short dense sketches, then exactly), and what is linked becomes one component; only pairs that share a key *and* lie in different components remain,
-and are compared group by group, sketches first.  Where one key joins very many such
+and are compared group by group on sketches: twice only as many of the nearest as
+would join what can be joined, then all that are left; each is verified exactly.  Where one key joins very many such
 pairs (a passage that many texts carry), its classes must also agree on a segment of
 a second, independently seeded sketch, and so on.
 """
@@ -34,7 +35,7 @@ from .scratch import Scratch, shuffle_width
 from .textblocks import U, mix, mix1, shingle_sets, slices, word_hashes
 
 #: Pairs of different components, or classes, under one key beyond which the key is refined.
-REFINE_PAIRS, REFINE_CLASSES = 2_000_000, 100_000
+REFINE_PAIRS, REFINE_CLASSES = 8_000_000, 100_000
 #: Refinements of a key before all its pairs are verified as they are.
 REFINE_LEVELS = 5
 _FLUSH_KEYS = 1_500_000
@@ -250,24 +251,59 @@ def _near_sketches(percent: int):
     return run
 
 
-def _group_pairs(percent: int):
-    """Rows (key, id, comp, n, p) sorted by key to pairs of one key, of different components, whose sketches are near."""
+def _group_pairs(percent: int, forest: bool):
+    """Rows (key, id, comp, n, p) sorted by key to pairs of one key, of different components, whose sketches are near.
+
+    ``forest``: only so many as join what they can join, the nearest first: if all prove
+    to be links, no other pair of the group is needed.
+    """
+
+    def ratios(i, m, comp, n):
+        """Distance of rows i to all, over what a link may have; infinite where no link can be or none is needed."""
+        far = np.bitwise_count(m[i][:, None, :] ^ m[None, :, :]).sum(2, dtype=np.int64)
+        total = n[i][:, None] + n[None, :]
+        ok = (comp[i][:, None] != comp[None, :]) & (far * (100 + percent) <= (100 - percent) * total)
+        ok &= 100 * np.minimum(n[i][:, None], n[None, :]) >= percent * np.maximum(n[i][:, None], n[None, :])
+        return np.where(ok, (far / total).astype(np.float32), np.float32(np.inf))
 
     def near(ids, comp, n, p):
         least = min(map(len, p))
         m = np.stack([x if len(x) == least else np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in p])
         m = m.view(U) if least % 8 == 0 else m
-        names, counts = np.unique(comp, return_counts=True)
-        others = np.flatnonzero(comp != names[counts.argmax()])  # a pair of two components has a member here
+        names, comp = np.unique(comp, return_inverse=True)
         step = max(1, 4_000_000 // max(1, m.size))
-        for at in range(0, len(others), step):
-            i = others[at : at + step]
-            far = np.bitwise_count(m[i][:, None, :] ^ m[None, :, :]).sum(2, dtype=np.int64)
-            total = n[i][:, None] + n[None, :]
-            ok = (comp[i][:, None] != comp[None, :]) & (far * (100 + percent) <= (100 - percent) * total)
-            ok &= 100 * np.minimum(n[i][:, None], n[None, :]) >= percent * np.maximum(n[i][:, None], n[None, :])
-            x, y = np.nonzero(ok)
-            yield ids[i[x]], ids[y]
+        while True:
+            others = np.flatnonzero(comp != np.bincount(comp).argmax())  # a pair of two components has a member here
+            edges = []
+            for at in range(0, len(others), step):
+                i = others[at : at + step]
+                d = ratios(i, m, comp, n)
+                if not forest:
+                    x, y = np.nonzero(np.isfinite(d))
+                    yield ids[i[x]], ids[y]
+                    continue
+                best = d.argmin(1)
+                value = d[np.arange(len(i)), best]
+                edges += [(v, a, b) for v, a, b in zip(value.tolist(), i.tolist(), best.tolist()) if v != np.inf]
+            if not edges:
+                return
+            root = list(range(int(comp.max()) + 1))
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            used = []
+            for _, a, b in sorted(edges):
+                x, y = find(int(comp[a])), find(int(comp[b]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    used.append((a, b))
+            x, y = np.array(used).T
+            yield ids[x], ids[y]
+            comp = np.unique(np.array([find(c) for c in range(len(root))])[comp], return_inverse=True)[1]
 
     def run(batches):
         held, done = None, []
@@ -394,7 +430,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     star = members.join(least, "key").groupBy("id").agg(F.min("m").alias("m")).where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b"))
     links = scratch.save(verified(scratch.save(near(star))))
 
-    seed = 0
+    # two rounds of the nearest pairs leave little to compare in full
+    seed = turn = 0
     while True:
         comp = components(links, scratch)
         labelled = scratch.save(members.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
@@ -405,14 +442,18 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         open_keys = scratch.save(per_key.where("c > 1").groupBy("n", "q", "c", "h").agg(F.min("key").alias("key")).select("key", many.alias("hot")))
         opened = labelled.join(open_keys, "key")
         cold = opened.where("not hot").select("key", "id", "comp").join(sketches, "id").select("key", "id", "comp", "n", "p")
-        pairs = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_group_pairs(percent), "a long, b long").distinct()
+        pairs = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_group_pairs(percent, turn < 2), "a long, b long").distinct()
         links = scratch.save(links.union(verified(scratch.save(pairs))))
-        hot = opened.where("hot").groupBy("id").agg(F.collect_set("key").alias("hot"))
+        turn += 1
+        if turn <= 2:
+            scratch.drop(labelled)
+            continue
         if not open_keys.where("hot").limit(1).count():
             break
-        seed += 1
+        hot = opened.where("hot").groupBy("id").agg(F.collect_set("key").alias("hot"))
+        seed, turn = seed + 1, 0
         with_text = docs.join(chosen.select("doc_id", "id"), "doc_id").dropDuplicates(["id"]).join(hot, "id").select("id", "text", "hot")
-        fine = with_text.mapInArrow(_refine(size, seed), "key long, id long")
+        fine = scratch.save(with_text.mapInArrow(_refine(size, seed), "key long, id long"))
         members = scratch.save(fine.join(fine.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"))
 
     comp = components(links, scratch)
