@@ -1,7 +1,7 @@
 """Arrow IPC files as a Spark source and sink (Python data source ``arrow_ipc``).
 
-``spark.dataSource.register(ArrowIpcSource)``; one input partition for each file,
-one file for each task; ``path`` must be seen by all executors.
+``register(spark)``; one input partition for each file, one file for each task;
+``path`` must be seen by all executors.
 """
 
 from __future__ import annotations
@@ -85,6 +85,13 @@ class _Writer(DataSourceArrowWriter):
                 os.remove(m.file)
 
 
+def register(spark) -> None:
+    """Make the source known to a session, which becomes the active one."""
+    spark.sql("SELECT 1")
+    spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(spark._jsparkSession)
+    spark.dataSource.register(ArrowIpcSource)
+
+
 def write_table(table: pa.Table, file: str) -> None:
     with ipc.new_file(file, table.schema) as out:
         out.write_table(table)
