@@ -20,7 +20,6 @@ compressed blocks, one for each batch of texts and bucket, not as rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np

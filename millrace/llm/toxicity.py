@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import U, hash_of, mix, shingles, slices, word_hashes
+from .textblocks import U, hash_of, shingles, slices, word_hashes
 
 #: At most so many labelled rows are used for fitting.
 FIT_ROWS = 20_000
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have the score of a text without any vote.  Only ``text`` is
     scored; other columns are ignored.  An empty table gives an empty one.
     """
-    out = docs.select("doc_id", "text").mapInArrow(_score(model, None), "doc_id long, score double") if dict(docs.dtypes).get("doc_id") == "bigint" else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model, None), "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model, None), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
