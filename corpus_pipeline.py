@@ -39,12 +39,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The one document of a source that is taken in part is cut after that many words.
     """
-    mixed = mixing.mix(docs, keep=docs.columns)
-    copies = mixing.positions(mixed)
-    cut = mixing.first_words(F.col("text"), F.col("words"))
-    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text"))
-    copies = copies.withColumn("n_chars", F.when(F.col("words") < F.col("size"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).withColumn("text", text)
-    return mixing.in_order(copies).select(docs.columns)
+    copies = mixing.in_order(mixing.positions(mixing.mix(docs, keep=True)))
+    part = F.col("words") < F.col("size")
+    text = F.when(part, mixing.first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
+    changed = {"text": text, "n_chars": F.when(part, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)}
+    return copies.select(*[changed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,13 +51,13 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     return rows.select("source", "source_size", "ordinal", F.count("*").over(Window.partitionBy()).alias("sources"), target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most_repeats: float = 2.0, keep: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most_repeats: float = 2.0, keep: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, taken, ...): one row for each row of ``docs``.
 
     ``taken`` words are ``repeats`` whole copies and, for the one document of a source
     at which its target is reached, ``part`` words of one more.  Also: ``source``,
     ``before`` (words of the source ahead of the document in its order), ``ordinal``,
-    ``sources`` and the columns named in ``keep``.
+    ``sources`` and, with ``keep``, the whole row as a struct ``row``.
 
     The order within a source is that of a digest of doc_id (null last), then the text;
     rows that are equal in both are taken one after the other.  Null texts have size
@@ -66,12 +66,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    extra = [c for c in keep if c not in ("doc_id", "source")]
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string")).alias("_order"), F.xxhash64("text").alias("_tie"))
-    rows = rows.withColumn("_cell", F.coalesce(F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"), F.lit(4096)))
+    whole = [F.struct(*docs.columns).alias("row")] if keep else []
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string")).alias("_order"), F.xxhash64("text").alias("_tie"), *whole)
     cells = min(4096, 4 * shuffle_width(spark))
-    rows = rows.withColumn("_cell", F.floor(F.col("_cell") * cells / 4096).cast("int"))
-    rows = scratch.save(rows)
+    place = F.coalesce(F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"), F.lit(4096))
+    rows = rows.withColumn("_cell", F.floor(place * cells / 4096).cast("int"))
+    rows = rows if keep else scratch.save(rows)
     cell = rows.groupBy("source", "_cell").agg(F.sum("size").alias("cell_size"))
     ahead = Window.partitionBy("source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cell = scratch.save(cell.select("source", "_cell", "cell_size", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)).alias("cell_before")))
@@ -86,17 +86,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     more = F.round(F.col("target") - repeats * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), more - F.col("before")))
     rows = rows.withColumns({"repeats": repeats, "part": part})
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", (F.col("repeats") * F.col("size") + F.col("part")).alias("taken"), "repeats", "part", "before", "ordinal", "sources", "_tie")
-    if not extra:
-        return rows.drop("_tie")
-    back = docs.select(*{*keep, "doc_id", "source", "text"}).withColumn("_t", F.xxhash64("text"))
-    # repeated rows: the i-th of equal rows meets the i-th
-    same = Window.partitionBy("doc_id", "_tie", "source").orderBy("before")
-    rows = rows.withColumn("_i", F.row_number().over(same))
-    again = Window.partitionBy("doc_id", "_t", "source").orderBy("text")
-    back = back.withColumn("_i", F.row_number().over(again)).withColumnsRenamed({"doc_id": "_d", "source": "_s"})
-    joined = rows.join(back, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s")) & (rows["_i"] == back["_i"]))
-    return joined.drop("_tie", "_t", "_d", "_s", "_i")
+    taken = (F.col("repeats") * F.col("size") + F.col("part")).alias("taken")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken, "repeats", "part", "before", "ordinal", "sources", *(["row"] if keep else []))
 
 
 def positions(mixed: DataFrame, drift: float = 0.5) -> DataFrame:
