@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, shuffle_width
 
 #: Words as they stand, and stems, whose ids a Python worker keeps.
-CACHE_WORDS, CACHE_STEMS = 400_000, 700_000
+CACHE_WORDS, CACHE_STEMS = 700_000, 700_000
 _tokenizers: dict[str, tuple] = {}
 #: Characters that Python takes for white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -59,7 +60,7 @@ def _word_ids(word: str, path: str) -> bytes:
     plain = _PLAIN.fullmatch(word)
     if not plain:
         return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-    out = b""
+    out = []
     for part in (plain[1].lower(), plain[2]):
         if part:
             ids = stems.get(part)
@@ -67,9 +68,10 @@ def _word_ids(word: str, path: str) -> bytes:
                 if len(stems) >= CACHE_STEMS:
                     stems.clear()
                 letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                ids = stems[part] = b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(letters))
-            out += ids
-    return out
+                found = [t.id for t in model.tokenize(letters)]
+                ids = stems[part] = struct.pack(f"<{len(found)}I", *found)
+            out.append(ids)
+    return b"".join(out)
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -83,9 +85,8 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     words = [[t] if _ODD.search(t) else t.split() for t in texts]
     if len(known) > CACHE_WORDS:
         known.clear()
-    for w in {w for ws in words for w in ws}:
-        if w not in known:
-            known[w] = _word_ids(w, path)
+    for w in set().union(*words).difference(known):
+        known[w] = _word_ids(w, path)
     return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
