@@ -34,7 +34,7 @@ BACKOFF = 0.4
 #: At most so many words have a share of the corpus that makes them common.
 COMMON = 1 << 19
 #: Bigrams of a bucket, and of a step within a bucket's task.
-BUCKET, STEP = 6_000_000, 1_500_000
+BUCKET, STEP = 4_000_000, 1_000_000
 _NO_ID = -(2**63)
 _START, _END = U(0), U(1)
 _SHIFT = U(24)  # words are named by 40 bits
@@ -70,7 +70,7 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, per = _names(data, offsets)
             held.append(np.concatenate([w, np.zeros(int((per > 0).sum()), U)]))
             total += len(w)
-            if total > 8_000_000:
+            if total > 4_000_000:
                 yield out(held)
                 held, total = [], 0
     if held:
@@ -124,7 +124,7 @@ def _bigrams(buckets: int, common):
                 v = np.insert(w, (first + per)[has], _END)
                 held.append((u, v, np.repeat(ids, np.where(has, per + 1, 0))))
                 total += len(u)
-                if total > 4_000_000:
+                if total > 2_000_000:
                     yield flush(held)
                     held, total = [], 0
         if held:
