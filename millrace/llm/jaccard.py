@@ -34,8 +34,8 @@ from .components import components
 from .scratch import Scratch, shuffle_width
 from .textblocks import U, mix, mix1, shingle_sets, slices, word_hashes
 
-#: Pairs of different components, or classes, under one key beyond which the key is refined.
-REFINE_PAIRS, REFINE_CLASSES = 8_000_000, 100_000
+#: A key of more classes than this, and of more pairs of different components, is refined.
+REFINE_CLASSES, REFINE_PAIRS = 4_000, 8_000_000
 #: Refinements of a key before all its pairs are verified as they are.
 REFINE_LEVELS = 5
 _FLUSH_KEYS = 1_500_000
@@ -196,13 +196,21 @@ def _pack(size: int, buckets: int):
 
 
 def _shared(batches):
-    """(key, id) of the keys that more than one class of this task's buckets has."""
+    """(key, id, least) of the keys that more than one class of this task's buckets has; least: one id of the key."""
+
+    def out(key, id_):
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        at = np.flatnonzero(first)
+        least = np.repeat(np.minimum.reduceat(id_, at), np.diff(np.append(at, len(key)))) if len(key) else id_
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(id_), pa.array(least)], ["key", "id", "least"])
+
     keys, ids = [], []
     for batch in batches:
         for bucket, whole, k, i in zip(*(batch.column(c).to_pylist() for c in ("bucket", "whole", "keys", "ids"))):
             i = np.frombuffer(i, np.int64)
             if whole:
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(i)], ["key", "id"])
+                yield out(np.frombuffer(k, U), i)
             else:
                 keys.append((U(bucket) << U(32)) | np.frombuffer(k, np.uint32).astype(U))
                 ids.append(i)
@@ -218,8 +226,11 @@ def _shared(batches):
     differ = np.minimum.reduceat(id_, at) != np.maximum.reduceat(id_, at)
     keep = np.repeat(differ, np.diff(np.append(at, len(key))))
     key, id_ = key[keep], id_[keep]
-    for a in range(0, len(key), 200_000):
-        yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000].view(np.int64)), pa.array(id_[a : a + 200_000])], ["key", "id"])
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    cuts = [0, *(int(at[np.searchsorted(at, x)]) for x in range(200_000, len(key), 200_000) if np.searchsorted(at, x) < len(at)), len(key)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            yield out(key[a:b], id_[a:b])
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
@@ -400,9 +411,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     width = shuffle_width(spark)
     buckets = max(2 * width, -(-total // 1_000_000))
     blocks = docs.select("text").mapInArrow(_pack(size, int(buckets)), _BLOCK)
-    members = scratch.save(blocks.repartition(int(max(width, buckets // 2)), "bucket").mapInArrow(_shared, "key long, id long"))
+    met = scratch.save(blocks.repartition(int(max(width, buckets // 2)), "bucket").mapInArrow(_shared, "key long, id long, least long"))
 
-    shared_ids = members.select("id").distinct()
+    shared_ids = met.select("id").distinct()
     # one text of each class that shares a key stands for it
     chosen = scratch.save(
         named.where("id <> 0").join(shared_ids, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
@@ -425,36 +436,49 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         full = pairs.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         return full.mapInArrow(_verify(percent), "a long, b long")
 
-    # every class against the least class of its keys
-    least = members.groupBy("key").agg(F.min("id").alias("m"))
-    star = members.join(least, "key").groupBy("id").agg(F.min("m").alias("m")).where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b"))
+    # every class against one class of its keys
+    star = met.groupBy("id").agg(F.min("least").alias("m")).where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b"))
     links = scratch.save(verified(scratch.save(near(star))))
 
+    def once(members: DataFrame) -> DataFrame:
+        """Of the keys that join the same classes, one; no key of a single class."""
+        same = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("h"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+        one = same.where("lo <> hi").groupBy("n", "h", "lo", "hi").agg(F.min("key").alias("key")).select("key")
+        return members.select("key", "id").join(one, "key")
+
+    members = scratch.save(once(met))
+    scratch.drop(met)
     # two rounds of the nearest pairs leave little to compare in full
     seed = turn = 0
     while True:
         comp = components(links, scratch)
         labelled = scratch.save(members.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
-        sizes_of = labelled.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h"))
-        per_key = sizes_of.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("c"), F.sum("h").alias("h"))
-        many = F.expr(f"(n * n - q) / 2 > {REFINE_PAIRS} or n > {REFINE_CLASSES}") & F.lit(seed < REFINE_LEVELS)
-        # keys that join the same classes are one
-        open_keys = scratch.save(per_key.where("c > 1").groupBy("n", "q", "c", "h").agg(F.min("key").alias("key")).select("key", many.alias("hot")))
-        opened = labelled.join(open_keys, "key")
+        per_key = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        open_keys = scratch.save(per_key.where("lo <> hi").select("key", "n"))
+        hot_keys = open_keys.where(f"n > {REFINE_CLASSES}").select("key").limit(0)
+        if seed < REFINE_LEVELS and open_keys.where(f"n > {REFINE_CLASSES}").limit(1).count():
+            # pairs of different components, where a key has many classes
+            of = labelled.join(open_keys.where(f"n > {REFINE_CLASSES}"), "key").groupBy("key", "comp").agg(F.count("*").alias("m"))
+            of = of.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"))
+            hot_keys = scratch.save(of.where(f"(n * n - q) / 2 > {REFINE_PAIRS}").select("key"))
+        keys = open_keys.select("key").join(hot_keys.select("key", F.lit(True).alias("hot")), "key", "left").select("key", F.coalesce("hot", F.lit(False)).alias("hot"))
+        opened = scratch.save(labelled.join(keys, "key"))
+        # what lies in one component now stays so
+        members = opened.select("key", "id")
+        scratch.drop(labelled)
         cold = opened.where("not hot").select("key", "id", "comp").join(sketches, "id").select("key", "id", "comp", "n", "p")
         pairs = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_group_pairs(percent, turn < 2), "a long, b long").distinct()
         links = scratch.save(links.union(verified(scratch.save(pairs))))
         turn += 1
         if turn <= 2:
-            scratch.drop(labelled)
             continue
-        if not open_keys.where("hot").limit(1).count():
+        if not hot_keys.limit(1).count():
             break
         hot = opened.where("hot").groupBy("id").agg(F.collect_set("key").alias("hot"))
         seed, turn = seed + 1, 0
         with_text = docs.join(chosen.select("doc_id", "id"), "doc_id").dropDuplicates(["id"]).join(hot, "id").select("id", "text", "hot")
         fine = scratch.save(with_text.mapInArrow(_refine(size, seed), "key long, id long"))
-        members = scratch.save(fine.join(fine.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"))
+        members = scratch.save(once(fine))
 
     comp = components(links, scratch)
     # the least doc_id of a component
@@ -463,5 +487,5 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     known = scratch.save(comp.join(roots, "comp").select("id", "root"))
     repeated = named.where("id <> 0").groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1 or first is null").select("id", "first")
     roots = scratch.save(known.join(repeated, "id", "full").select("id", F.coalesce("root", "first").alias("root")))
-    scratch.drop(members, texts)
+    scratch.drop(texts)
     return named.join(roots, "id", "left").select("doc_id", "n_shingles", F.coalesce("root", F.when(F.col("id") != 0, F.col("doc_id")), F.col("doc_id")).alias("component_id"))

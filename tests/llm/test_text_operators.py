@@ -107,6 +107,7 @@ def test_jaccard_components(docs):
 
 def test_jaccard_refines_hot_keys(docs, monkeypatch):
     monkeypatch.setattr(jaccard, "REFINE_PAIRS", 3)
+    monkeypatch.setattr(jaccard, "REFINE_CLASSES", 2)
     want = brute_components([tuple(r) for r in docs.collect()])
     assert {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(docs).collect()} == want
 
