@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -126,7 +126,7 @@ def fingerprint_edits(docs: DataFrame, size: int = 5, perms: int = PERMS) -> Dat
     each range also goes to the range before it, to which it is the next.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = max(2, 2 * shuffle_width(docs.sparkSession))
+    parts = max(2, shuffle_width(docs.sparkSession))
     ids = docs.select("doc_id").where("doc_id is not null")
     cuts = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []), reverse=True)
     cuts = [int(c) for c in cuts]
@@ -141,10 +141,9 @@ def fingerprint_edits(docs: DataFrame, size: int = 5, perms: int = PERMS) -> Dat
         return docs.select("doc_id", "text", F.col("run"), F.lit(False).alias("last")).select("run", "last", "doc_id", "text").mapInArrow(_edits(size, perms), _EDITS)
     runs = [h["run"] for h in heads]
     ends_for = {h["run"]: runs[i - 1] for i, h in enumerate(heads)}
-    is_head = F.lit(False)
-    for h in heads:
-        same = F.col("doc_id") == F.lit(h["doc_id"]).cast("long") if h["doc_id"] is not None else F.col("doc_id").isNull() & (F.sha2("text", 256) == F.lit(h["digest"]))
-        is_head = is_head | ((F.col("run") == h["run"]) & same)
+    # an id tells its run; of null ids the least text comes first
+    known = [h["doc_id"] for h in heads if h["doc_id"] is not None]
+    is_head = F.when(F.col("doc_id").isNull(), F.sha2("text", 256) == F.lit(heads[-1]["digest"])).otherwise(F.col("doc_id").isin(known))
     into = F.element_at(F.create_map(*[F.lit(x) for kv in ends_for.items() for x in kv]), F.col("run"))
     here = F.struct(F.col("run").alias("run"), F.lit(False).alias("last"))
     copy = F.struct(into.alias("run"), F.lit(True).alias("last"))
