@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .html_extract import host_of
+from .scratch import Scratch
 
 #: (verdict, host, path prefix)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -139,7 +140,7 @@ def _host_scores(model: NaiveBayes, seeds: dict[str, int], total: int):
 def segment_hosts(pages: DataFrame, model: NaiveBayes) -> DataFrame:
     """(host, words, host_score) for each distinct host of ``pages``."""
     hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
-    counts = word_counts(pages)
+    counts = Scratch(pages.sparkSession).save(word_counts(pages))
     candidates = hosts.mapInArrow(_substrings, "host string, word string")
     found = candidates.join(counts, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("found"))
     # the words of the examples are known words
