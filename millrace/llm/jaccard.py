@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch, shuffle_width
-from .textblocks import U, mix, mix1, shingle_sets, slices, word_hashes
+from .textblocks import U, mix, mix1, shingle_sets, slices, trim, word_hashes
 
 #: A key of more classes than this, and of more pairs of different components, is refined.
 REFINE_CLASSES, REFINE_PAIRS = 4_000, 8_000_000
 #: Refinements of a key before all its pairs are verified as they are.
 REFINE_LEVELS = 5
-_FLUSH_KEYS = 1_500_000
+_FLUSH_KEYS = 800_000
 _STEP = 1.25  # sizes of one band; J >= 0.8 spans two bands at most
 
 
@@ -231,6 +231,8 @@ def _shared(batches):
     for a, b in zip(cuts[:-1], cuts[1:]):
         if b > a:
             yield out(key[a:b], id_[a:b])
+    del key, id_, order, first, keep
+    trim()
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
@@ -343,6 +345,7 @@ def _group_pairs(percent: int, forest: bool):
             groups(held, [0, held.num_rows])
         if done:
             yield out()
+        trim()
 
     return run
 

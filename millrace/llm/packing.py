@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, shuffle_width
 
 #: Words as they stand, and stems, whose ids a Python worker keeps.
-CACHE_WORDS, CACHE_STEMS = 700_000, 700_000
+CACHE_WORDS, CACHE_STEMS = 400_000, 450_000
 _tokenizers: dict[str, tuple] = {}
 #: Characters that Python takes for white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
