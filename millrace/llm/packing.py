@@ -30,7 +30,7 @@ from .scratch import Scratch, shuffle_width
 CACHE_WORDS, CACHE_STEMS = 400_000, 450_000
 _tokenizers: dict[str, tuple] = {}
 #: Characters that Python takes for white space and the tokenizer does not.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 #: Letters that no normalisation but lower-casing changes, then signs that form one more
 #: token group; the apostrophe has rules of its own.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -82,7 +82,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     own ids for the whole text (tested).
     """
     known = _tokenizer(path)[2]
-    words = [[t] if _ODD.search(t) else t.split() for t in texts]
+    words = [[t] if any(c in t for c in _ODD) else t.split() for t in texts]
     if len(known) > CACHE_WORDS:
         known.clear()
     for w in set().union(*words).difference(known):
