@@ -8,7 +8,8 @@ Curriculum: a source's weight at training time t in [0, 1] is a straight line fr
 ``+drift`` for the first source to ``-drift`` for the last.  The integral of the
 schedule times the target is the source's cumulative demand; inverting it at the
 words that stand before a copy of a document in its source's order gives that copy
-its training position.  ``positions`` deals the copies out in that order.
+its training position.  ``positions`` gives each copy its place, ``in_order`` sorts the
+copies by it, and ``deal`` does both and gathers the copies of each row again.
 
 Sizes are counted and summed in hashed buckets of each source, so a source with a
 third of all rows is spread over all tasks.
@@ -110,6 +111,24 @@ def in_order(copies: DataFrame) -> DataFrame:
     return copies.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
 
 
+def deal(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most_repeats: float = 2.0, drift: float = 0.5) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies, position): one row for each row of ``docs``, in training order.
+
+    All copies are dealt out: each gets its position, and they are range-sorted by it and written.  ``taken``
+    sums the words of a row's copies, ``position`` is that of the first one.  Rows that the mix does not take
+    come last (taken 0, no copies, position null).
+    """
+    scratch = Scratch(docs.sparkSession)
+    mixed = scratch.save(mix(docs, weights, share, most_repeats))
+    copies = scratch.save(in_order(positions(mixed, drift)))
+    # rows with words differ in what stands before them in their source
+    row = ["doc_id", "size", "source_size", "target"]
+    dealt = copies.groupBy("ordinal", "before", *row).agg(F.sum("words").alias("taken"), F.count("*").alias("copies"), F.min("position").alias("position"))
+    zero = F.lit(0).cast("long")
+    left = mixed.where("size = 0 or repeats + part = 0").select(*row, zero.alias("taken"), zero.alias("copies"), F.lit(None).cast("double").alias("position"))
+    return dealt.select(left.columns).unionByName(left).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS o,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),

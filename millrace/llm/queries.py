@@ -58,8 +58,8 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    dealt = mixing.deal(_table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,6 +266,35 @@ def test_positions_follow_the_curriculum(docs):
     assert early(per[0]) > early(per[max(per)])
 
 
+def training_position(done, slope):
+    """The time at which the cumulative demand t * (1 + s) - s * t * t reaches ``done``, by bisection."""
+    low, high = 0.0, 1.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if mid * (1 + slope) - slope * mid * mid < done else (low, mid)
+    return low
+
+
+def test_mixing_query_deals_all_copies_in_order(docs, spark, tmp_path):
+    odd = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "c d e", None), (2, None, "s"), (3, "", None)], "doc_id long, text string, source string")
+    docs = docs.select("doc_id", "text", "source").unionByName(odd)
+    first = []
+    for r in mixing.mix(docs).collect():
+        slope = 0.5 * (1 - 2 * r["ordinal"] / (r["sources"] - 1)) if r["sources"] > 1 else 0.0
+        place = training_position(r["before"] / r["target"], slope) if r["taken"] else None
+        first.append((r["doc_id"], r["size"], r["taken"], r["repeats"] * (r["size"] > 0) + (r["part"] > 0), place))
+    dealt = mixing.deal(docs).collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r[:4]) + (r[4] is None, round(r[4] or 0, 9))
+    got = [(r["doc_id"], r["size"], r["taken"], r["copies"], r["position"]) for r in dealt]
+    for a, b in zip(sorted(got, key=key), sorted(first, key=key), strict=True):
+        assert a[:4] == b[:4] and (a[4] is None) == (b[4] is None) and abs((a[4] or 0) - (b[4] or 0)) < 1e-7
+    placed = [p for *_, p in got if p is not None]
+    assert placed == sorted(placed) and all(p is None for *_, p in got[len(placed) :])
+    # the query gives its rows in that order
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r["doc_id"], r["taken"]) for r in queries.op9_mixing(spark, str(tmp_path)).collect()] == [r[:1] + r[2:3] for r in got]
+
+
 def test_mixing_keeps_rows_that_repeat(spark):
     d = spark.createDataFrame([(1, "a b", "s", "k"), (1, "a b", "s", "k"), (None, "c", None, "k"), (2, None, "s", "k")], "doc_id long, text string, source string, size2 string")
     m = mixing.mix(d, keep=True)
