@@ -38,6 +38,7 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MPL-2.0", "This work is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("Proprietary", "All rights reserved."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ duckdb = pytest.importorskip("duckdb")
 
 from millrace.llm import fingerprints, jaccard, licenses, lmscore, mixing, packing, queries, textblocks, toxicity  # noqa: E402
 
+SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, id string, size string"
 
 
@@ -340,6 +342,27 @@ def test_licenses_equal_sql(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+#: Every licence line of the test tables.
+LICENCE_LINES = {
+    "All rights reserved.": "Proprietary",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Released under the MIT License.": "MIT",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+}
+
+
+def test_licence_lines_of_the_tables(spark):
+    d = spark.createDataFrame([(line, f"Prose stands here, and goes on for many more words than a notice has.\n{line}\nAnd here is some more of it, and no licence at all.") for line in LICENCE_LINES], "doc_id string, text string")
+    assert {r["doc_id"]: (r["license"], r["dice"], r["n_matches"]) for r in licenses.scan(d).collect()} == {line: (name, 1.0, 1) for line, name in LICENCE_LINES.items()}
+    if os.path.isdir(SF):
+        rows = spark.read.parquet(f"{SF}/documents.parquet").where("text rlike '(?i)licen[sc]e|all rights'")
+        texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+        for r in licenses.scan(rows).collect():
+            assert r["license"] in {name for line, name in LICENCE_LINES.items() if line in texts[r["doc_id"]].split("\n")}
+        assert {t.strip() for x in texts.values() for t in x.split("\n") if re.search("(?i)licen[sc]e|all rights", t)} <= set(LICENCE_LINES)
+
+
 # --- 1
 
 
