@@ -63,7 +63,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
+    return licenses.scan(_table(spark, sf_dir, "documents"), windows=True).withColumn("dice", F.round("dice", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

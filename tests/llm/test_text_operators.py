@@ -363,6 +363,50 @@ def test_licence_lines_of_the_tables(spark):
         assert {t.strip() for x in texts.values() for t in x.split("\n") if re.search("(?i)licen[sc]e|all rights", t)} <= set(LICENCE_LINES)
 
 
+def best_window(text, t=licenses.THRESHOLD):
+    """The best Dice of any window of words with any template, by brute force."""
+    have = licenses.bigrams(text)
+    best = (0.0, "")
+    for name, template in licenses.TEMPLATES:
+        want = Counter(licenses.bigrams(template))
+        for n in licenses.allowed_sizes(want.total(), t):
+            for i in range(len(have) - n + 1):
+                dice = 2 * (Counter(have[i : i + n]) & want).total() / (n + want.total())
+                best = min(best, (-dice, name)) if dice >= t else best
+    return (best[1], -best[0]) if best[1] else (None, None)
+
+
+def test_licence_windows(spark, empty):
+    rnd = random.Random(5)
+    prose = lambda n: " ".join(rnd.choice("this work is under the license of a public garden released by all who may version it 3 0 rights".split()) for _ in range(n))
+    texts = []
+    for _, t in licenses.TEMPLATES:
+        ws = t.split()
+        for k in range(4):
+            changed = [w for w in ws if rnd.random() > 0.05 * k]
+            changed.insert(rnd.randrange(len(changed) + 1), "garden") if k > 1 else None
+            cut = rnd.randrange(len(changed) + 1)
+            texts.append(f"{prose(60)} {' '.join(changed[:cut])}\n{' '.join(changed[cut:])} {prose(60)}")
+    texts += [prose(n) for n in (1, 30, 300)] + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan(d, windows=True).collect():
+        name, dice = best_window(texts[r["doc_id"]] or "")
+        assert (r["license"], r["dice"]) == (name, pytest.approx(dice) if dice else None), texts[r["doc_id"]]
+        assert (r["n_matches"] > 0) == (name is not None)
+    wrapped = "This work is licensed under the GNU General\nPublic License, version 3."
+    cases = {
+        f"{prose(40)}\n{wrapped}\n{prose(40)}": ("GPL-3.0", 1),
+        f"Words of ours, which are many and go on. Released under the MIT License. {prose(30)}": ("MIT", 1),
+        "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.": ("CC-BY-NC-4.0", 2),
+        f"{prose(40)}\nReleased under the MIT License.\n{prose(40)} Licensed under the Apache License, Version 2.0. {prose(9)}": ("Apache-2.0", 2),
+        f"{prose(40)}\nReleased under the MIT License.\n{prose(40)}": ("MIT", 1),
+    }
+    d = spark.createDataFrame([(t, t) for t in cases] + [(None, f"{wrapped} {prose(40)}"), (None, "x")], "doc_id string, text string")
+    got = {r["doc_id"]: (r["license"], r["n_matches"]) for r in licenses.scan(d, windows=True).collect()}
+    assert got == cases | {None: ("GPL-3.0", 1)}
+    assert licenses.scan(empty, windows=True).count() == 0
+
+
 # --- 1
 
 
