@@ -12,18 +12,27 @@ out, except for the few texts that have as many of them as a true partner may
 have agreeing segments; so the join on segments loses no link.
 
 Segment keys travel as packed blocks: one row for each batch of texts and bucket.
-A bucket's task keeps only keys that several classes share.  Then every class is
-verified against one class that shares a key with it (first by the Hamming distance
-of short dense sketches, then exactly), and what is linked becomes one component; only pairs that share a key *and* lie in different components remain,
-and are compared group by group on sketches: twice only as many of the nearest as
-would join what can be joined, then all that are left; each is verified exactly.  Where one key joins very many such
-pairs (a passage that many texts carry), its classes must also agree on a segment of
-a second, independently seeded sketch, and so on.
+A bucket's task keeps only keys that several classes share, and of keys that join the
+same classes one is enough.  From there on memberships (key, class) and short dense
+sketches travel, not sets:
+
+1. every class meets one class of its keys on sketches; what is near is tied for the
+   time being, so that a large group of near copies costs one comparison a member;
+2. the members of each key that are not tied to its others are compared with them on
+   sketches, and only memberships that have a near partner stay;
+3. the sets of the classes that are left are made, once, from one text of each class;
+4. the ties are verified exactly, then forests of the nearest pairs that join different
+   components, and in the end all near pairs that still lie in different components.
+
+Where a key would need very many comparisons (a passage that many texts carry), its
+classes must also agree on a segment of a second, independently seeded sketch, and
+so on; a large group that stays is dealt out in blocks, so none meets in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +43,9 @@ from .components import components
 from .scratch import Scratch, shuffle_width
 from .textblocks import U, mix, mix1, shingle_sets, slices, trim, word_hashes
 
-#: A key of more classes than this, and of more pairs of different components, is refined.
-REFINE_CLASSES, REFINE_PAIRS = 4_000, 8_000_000
-#: Refinements of a key before all its pairs are verified as they are.
+#: A key of more classes than this is compared in blocks, and refined if it also needs more comparisons than this.
+REFINE_CLASSES, REFINE_PAIRS = 4_000, 16_000_000
+#: Refinements of a key before its blocks are compared however many they are.
 REFINE_LEVELS = 5
 _FLUSH_KEYS = 800_000
 _STEP = 1.25  # sizes of one band; J >= 0.8 spans two bands at most
@@ -131,11 +140,19 @@ def _sets(column: pa.Array, size: int):
         yield a, b, s, n
 
 
+def _each(s: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    return [s[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+
+
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, s, n in _sets(batch.column("text"), size):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(_class_ids(s, n), pa.int64())], ["doc_id", "n_shingles", "id"])
+                sketches = pa.array([bit_sketch(x).tobytes() if len(x) else None for x in _each(s, n)], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), batch.column("th").slice(a, b - a), pa.array(n, pa.int64()), pa.array(_class_ids(s, n), pa.int64()), sketches], ["doc_id", "th", "n_shingles", "id", "p"]
+                )
 
     return run
 
@@ -264,40 +281,52 @@ def _near_sketches(percent: int):
     return run
 
 
-def _group_pairs(percent: int, forest: bool):
-    """Rows (key, id, comp, n, p) sorted by key to pairs of one key, of different components, whose sketches are near.
+def _near_in_groups(percent: int, mode: str):
+    """Rows (key, part, role, id, comp, n, p) sorted by (key, part) to what is near in each group.
 
-    ``forest``: only so many as join what they can join, the nearest first: if all prove
-    to be links, no other pair of the group is needed.
+    Two rows are near if they are of different components and sizes and sketches allow a
+    link.  Mode "flags": (key, id) of rows that have a near one.  "forest": (a, b), only so
+    many pairs as join what they can join, the nearest first: if all prove to be links, no
+    other pair of the group is needed.  "all": (a, b), all pairs.
+    Role 0: the group is whole.  Else it is a block of a large group: 1 and 3 are its own
+    rows, 2 and 3 those outside the group's largest component, which every block has.
     """
 
-    def ratios(i, m, comp, n):
-        """Distance of rows i to all, over what a link may have; infinite where no link can be or none is needed."""
-        far = np.bitwise_count(m[i][:, None, :] ^ m[None, :, :]).sum(2, dtype=np.int64)
-        total = n[i][:, None] + n[None, :]
-        ok = (comp[i][:, None] != comp[None, :]) & (far * (100 + percent) <= (100 - percent) * total)
-        ok &= 100 * np.minimum(n[i][:, None], n[None, :]) >= percent * np.maximum(n[i][:, None], n[None, :])
-        return np.where(ok, (far / total).astype(np.float32), np.float32(np.inf))
+    def ratios(i, home, m, comp, n):
+        """Distance of rows i to rows home, over what a link may have; infinite where no link can be or none is needed."""
+        far = np.bitwise_count(m[i][:, None, :] ^ m[None, home, :]).sum(2, dtype=np.int64)
+        x, y = n[i][:, None], n[home][None, :]
+        ok = (comp[i][:, None] != comp[None, home]) & (far * (100 + percent) <= (100 - percent) * (x + y))
+        ok &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+        return np.where(ok, (far / (x + y)).astype(np.float32), np.float32(np.inf))
 
-    def near(ids, comp, n, p):
+    def near(comp, n, p, role):
+        """Places of near pairs; in mode "flags" of each row that has one, twice."""
         least = min(map(len, p))
         m = np.stack([x if len(x) == least else np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in p])
         m = m.view(U) if least % 8 == 0 else m
-        names, comp = np.unique(comp, return_inverse=True)
+        comp = np.unique(comp, return_inverse=True)[1]
+        home = np.flatnonzero(role != 2)
         step = max(1, 4_000_000 // max(1, m.size))
-        while True:
-            others = np.flatnonzero(comp != np.bincount(comp).argmax())  # a pair of two components has a member here
-            edges = []
+        while len(home):
+            # a pair of two components has a member here
+            others = np.flatnonzero(role >= 2) if role[0] else np.flatnonzero(comp != np.bincount(comp).argmax())
+            edges, flags = [], np.zeros(len(n), bool)
             for at in range(0, len(others), step):
                 i = others[at : at + step]
-                d = ratios(i, m, comp, n)
-                if not forest:
+                d = ratios(i, home, m, comp, n)
+                if mode == "forest":
+                    best = d.argmin(1)
+                    value = d[np.arange(len(i)), best]
+                    edges += [(v, a, b) for v, a, b in zip(value.tolist(), i.tolist(), home[best].tolist()) if v != np.inf]
+                else:
                     x, y = np.nonzero(np.isfinite(d))
-                    yield ids[i[x]], ids[y]
-                    continue
-                best = d.argmin(1)
-                value = d[np.arange(len(i)), best]
-                edges += [(v, a, b) for v, a, b in zip(value.tolist(), i.tolist(), best.tolist()) if v != np.inf]
+                    if mode == "all":
+                        yield i[x], home[y]
+                    else:
+                        flags[i[x]] = flags[home[y]] = True
+            if mode == "flags":
+                yield np.flatnonzero(flags), np.flatnonzero(flags)
             if not edges:
                 return
             root = list(range(int(comp.max()) + 1))
@@ -315,34 +344,51 @@ def _group_pairs(percent: int, forest: bool):
                     root[max(x, y)] = min(x, y)
                     used.append((a, b))
             x, y = np.array(used).T
-            yield ids[x], ids[y]
+            yield x, y
             comp = np.unique(np.array([find(c) for c in range(len(root))])[comp], return_inverse=True)[1]
 
+    names = ["key", "id"] if mode == "flags" else ["a", "b"]
+
     def run(batches):
-        held, done = None, []
+        held, done = [], []
 
         def out():
             a, b = (np.concatenate(c) for c in zip(*done))
             done.clear()
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            if mode != "flags":
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            pairs = np.unique(np.stack([a, b]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names)
 
         def groups(table, cuts):
-            ids, comp, n = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
+            key, ids, comp, n, role = (table.column(c).to_numpy() for c in ("key", "id", "comp", "n", "role"))
             p = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("p")]
             for x, y in zip(cuts[:-1], cuts[1:]):
-                done.extend(z for z in near(ids[x:y], comp[x:y], n[x:y], p[x:y]) if len(z[0]))
+                for a, b in near(comp[x:y], n[x:y], p[x:y], role[x:y]):
+                    if len(a):
+                        done.append((key[x:y][a] if mode == "flags" else ids[x:y][a], ids[x:y][b]))
 
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key = table.column("key").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1]) if len(key) else np.zeros(1, int)
-            groups(table, cuts)
-            held = table.slice(int(cuts[-1]))
+            if not batch.num_rows:
+                continue
+            key, part = (batch.column(c).to_numpy() for c in ("key", "part"))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+            if held and (held[-1].column("key")[-1].as_py(), held[-1].column("part")[-1].as_py()) != (int(key[0]), int(part[0])):
+                groups(pa.Table.from_batches(held).combine_chunks(), [0, sum(x.num_rows for x in held)])
+                held = []
+            if held and len(cuts):
+                held.append(batch.slice(0, int(cuts[0])))
+                groups(pa.Table.from_batches(held).combine_chunks(), [0, sum(x.num_rows for x in held)])
+                held, batch, cuts = [], batch.slice(int(cuts[0])), cuts - cuts[0]
+                cuts = cuts[1:]
+            if len(cuts):
+                groups(pa.Table.from_batches([batch.slice(0, int(cuts[-1]))]), [0, *cuts.tolist()])
+                batch = batch.slice(int(cuts[-1]))
+            held.append(batch)
             if sum(len(a) for a, _ in done) > 100_000:
                 yield out()
-        if held is not None and held.num_rows:
-            groups(held, [0, held.num_rows])
+        if held:
+            groups(pa.Table.from_batches(held).combine_chunks(), [0, sum(x.num_rows for x in held)])
         if done:
             yield out()
         trim()
@@ -354,9 +400,7 @@ def _emit_sets(size: int):
     def run(batches):
         for batch in batches:
             for a, b, s, n in _sets(batch.column("text"), size):
-                bounds = np.concatenate([[0], np.cumsum(n)])
-                each = [s[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([bit_sketch(x).tobytes() for x in each], pa.binary())], ["id", "s", "p"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([x.tobytes() for x in _each(s, n)], pa.binary())], ["id", "s"])
 
     return run
 
@@ -376,21 +420,19 @@ def _verify(percent: int):
     return run
 
 
-def _refine(size: int, seed: int):
+def _refine(seed: int):
+    """Classes (id, s, hot: their hot keys) to (key, id): a key for each hot key and segment of the sketch of this seed."""
+
     def run(batches):
         for batch in batches:
             hot = batch.column("hot").to_pylist()
-            for a, b, s, n in _sets(batch.column("text"), size):
-                keys, who = segment_keys(s, n, seed)
-                cuts = np.searchsorted(np.sort(who), np.arange(b - a + 1))
-                keys = keys[np.argsort(who, kind="stable")]
-                for i in range(b - a):
-                    mine = np.unique(keys[cuts[i] : cuts[i + 1]])
-                    h = np.array(hot[a + i], np.int64).view(U)
-                    new = mix((mix(h)[:, None] ^ mine[None, :]).ravel())
-                    for c in range(0, len(new), 100_000):
-                        part = new[c : c + 100_000].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), batch.column("id")[a + i].as_py(), np.int64))], ["key", "id"])
+            for i, (id_, s) in enumerate(zip(batch.column("id").to_pylist(), batch.column("s"))):
+                s = np.frombuffer(s.as_buffer(), U)
+                mine = np.unique(segment_keys(s, np.array([len(s)]), seed)[0])
+                new = mix((mix(np.array(hot[i], np.int64).view(U))[:, None] ^ mine[None, :]).ravel())
+                for c in range(0, len(new), 100_000):
+                    part = new[c : c + 100_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), id_, np.int64))], ["key", "id"])
 
     return run
 
@@ -400,8 +442,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     Two texts are linked when ``100 * |A & B| >= percent * |A | B|`` (percent >= 80).
     Null and empty texts have an empty set, are linked with nothing and are their own
-    component.  A null doc_id keeps its row; component_id is the least doc_id that is
-    not null (null if there is none).  Repeated doc_ids keep their rows.  Further
+    component.  A null doc_id keeps its row, and its text links like any other;
+    component_id is the least doc_id that is not null (null if there is none).  Repeated
+    doc_ids keep their rows, each with the component of its own text.  Further
     columns of ``docs`` are ignored; an empty table gives an empty one.
     """
     if not 80 <= percent <= 100:
@@ -409,86 +452,113 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = scratch.save(docs.mapInArrow(_describe(size), "doc_id long, n_shingles long, id long"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    named = scratch.save(hashed.mapInArrow(_describe(size), "doc_id long, th long, n_shingles long, id long, p binary"))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
+    if not total:
+        return named.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     width = shuffle_width(spark)
     buckets = max(2 * width, -(-total // 1_000_000))
     blocks = docs.select("text").mapInArrow(_pack(size, int(buckets)), _BLOCK)
     met = scratch.save(blocks.repartition(int(max(width, buckets // 2)), "bucket").mapInArrow(_shared, "key long, id long, least long"))
 
-    shared_ids = met.select("id").distinct()
-    # one text of each class that shares a key stands for it
-    chosen = scratch.save(
-        named.where("id <> 0").join(shared_ids, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    )
-    texts = scratch.save(docs.join(chosen.select("doc_id", "id").where("doc_id is not null"), "doc_id").dropDuplicates(["id"]).select("id", "text").mapInArrow(_emit_sets(size), "id long, s binary, p binary")) if total else None
-    if texts is None:
-        return named.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    sizes = chosen.select("id", "n")
-    sketches = scratch.save(texts.select("id", "p").join(sizes, "id"))
+    # of each class that shares a key: its size, its sketch, and by its hash the text that stands for it
+    classes = named.where("id <> 0").groupBy("id").agg(F.min("th").alias("th"), F.max("n_shingles").alias("n"), F.first("p").alias("p"))
+    classes = scratch.save(classes.join(met.select("id").distinct(), "id", "left_semi"))
+    sketches = classes.select("id", "n", "p")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, s) of the classes ``ids`` (id).  Copies of a text fall together before they are moved."""
+        want = classes.join(ids.distinct(), "id", "left_semi").select("id", "th")
+        texts = hashed.where("text is not null").groupBy("th").agg(F.first("text").alias("text"))
+        return scratch.save(want.join(texts, "th").select("id", "text").mapInArrow(_emit_sets(size), "id long, s binary"))
 
     def near(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose sizes and sketches may belong to links."""
         a, b = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}")) for x in "ab")
-        sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        sized = sized.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-        return sized.join(a, "a").join(b, "b").mapInArrow(_near_sketches(percent), "a long, b long")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) that are links."""
-        full = pairs.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        return full.mapInArrow(_verify(percent), "a long, b long")
-
-    # every class against one class of its keys
-    star = met.groupBy("id").agg(F.min("least").alias("m")).where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b"))
-    links = scratch.save(verified(scratch.save(near(star))))
+        return pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").mapInArrow(_near_sketches(percent), "a long, b long")
 
     def once(members: DataFrame) -> DataFrame:
-        """Of the keys that join the same classes, one; no key of a single class."""
+        """Of the keys that join the same classes, one; no key of a single class.  ``members`` (key, id) are distinct."""
         same = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("h"), F.min("id").alias("lo"), F.max("id").alias("hi"))
         one = same.where("lo <> hi").groupBy("n", "h", "lo", "hi").agg(F.min("key").alias("key")).select("key")
-        return members.select("key", "id").join(one, "key")
+        return members.join(one, "key", "left_semi")
+
+    def opened(members: DataFrame, comp: DataFrame, sets: DataFrame | None, closed: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Memberships (key, id, comp, tied), and the rows (key, part, role, id, comp) to be compared, by groups.
+
+        Keys of one component alone are left out, of the memberships only if not ``closed``.  Hot
+        keys are refined by the sets of their classes (made here if they are not given).
+        """
+        kept, compare, level = [], [], 0
+        while True:
+            rows = scratch.save(members.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), F.col("comp").isNotNull().alias("tied")))
+            per_key = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            keys = scratch.save(per_key.where("lo <> hi").select("key", "n"))
+            large = keys.where(f"n > {REFINE_CLASSES}").select("key")
+            if not large.limit(1).count():
+                kept.append(rows if closed else rows.join(keys, "key", "left_semi"))
+                compare.append(rows.join(keys, "key", "left_semi").select("key", F.lit(0).alias("part"), F.lit(0).alias("role"), "id", "comp"))
+                break
+            sums = rows.join(large, "key", "left_semi").groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "comp")).alias("top"))
+            cost = F.col("n") * (F.col("n") - F.col("top.m"))
+            sums = scratch.save(sums.select("key", F.col("top.comp").alias("modal"), F.ceil(F.col("n") / REFINE_CLASSES).cast("int").alias("parts"), ((cost > REFINE_PAIRS) & F.lit(level < REFINE_LEVELS)).alias("hot")))
+            hot = sums.where("hot").select("key")
+            calm = rows.join(hot, "key", "left_anti")
+            kept.append(calm if closed else calm.join(keys, "key", "left_semi"))
+            compare.append(rows.join(keys.where(f"n <= {REFINE_CLASSES}"), "key", "left_semi").select("key", F.lit(0).alias("part"), F.lit(0).alias("role"), "id", "comp"))
+            # a large group in blocks: what lies outside its largest component goes to all of them
+            split = rows.join(sums.where("not hot"), "key").withColumn("home", F.pmod(F.xxhash64("id", "key"), F.col("parts")).cast("int"))
+            other = F.col("comp") != F.col("modal")
+            split = split.withColumn("part", F.explode(F.when(other, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("home"))))
+            compare.append(split.select("key", "part", F.when(~other, 1).when(F.col("part") == F.col("home"), 3).otherwise(2).alias("role"), "id", "comp"))
+            if not hot.limit(1).count():
+                break
+            level += 1
+            of = scratch.save(rows.join(hot, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("hot")))
+            sets = sets_of(of.select("id")) if sets is None else sets
+            members = scratch.save(once(scratch.save(sets.join(of, "id").mapInArrow(_refine(level), "key long, id long").distinct())))
+        return reduce(DataFrame.union, kept), reduce(DataFrame.union, compare)
+
+    def in_groups(compare: DataFrame, mode: str) -> DataFrame:
+        rows = compare.join(sketches, "id").select("key", "part", "role", "id", "comp", "n", "p").repartition("key", "part").sortWithinPartitions("key", "part")
+        return rows.mapInArrow(_near_in_groups(percent, mode), "key long, id long" if mode == "flags" else "a long, b long").distinct()
 
-    members = scratch.save(once(met))
+    # every class against one class of its keys
+    star = met.groupBy("id").agg(F.min("least").alias("m")).where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b"))
+    star = scratch.save(near(star))
+    distinct = scratch.save(met.select("key", "id").distinct())
     scratch.drop(met)
+    members = scratch.save(once(distinct))
+    scratch.drop(distinct)
+    # memberships with a near partner: tied ones, and those that the groups show
+    rows, compare = opened(members, components(star, scratch), None, closed=True)
+    members = scratch.save(rows.where("tied").select("key", "id").union(in_groups(compare, "flags")).distinct())
+    members = scratch.save(once(members))
+    ends = star.select("a").union(star.select("b")).union(members.select("id")).toDF("id")
+    sets = sets_of(ends)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) that are links."""
+        full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        return full.mapInArrow(_verify(percent), "a long, b long")
+
+    links = scratch.save(verified(star))
     # two rounds of the nearest pairs leave little to compare in full
-    seed = turn = 0
-    while True:
-        comp = components(links, scratch)
-        labelled = scratch.save(members.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
-        per_key = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        open_keys = scratch.save(per_key.where("lo <> hi").select("key", "n"))
-        hot_keys = open_keys.where(f"n > {REFINE_CLASSES}").select("key").limit(0)
-        if seed < REFINE_LEVELS and open_keys.where(f"n > {REFINE_CLASSES}").limit(1).count():
-            # pairs of different components, where a key has many classes
-            of = labelled.join(open_keys.where(f"n > {REFINE_CLASSES}"), "key").groupBy("key", "comp").agg(F.count("*").alias("m"))
-            of = of.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"))
-            hot_keys = scratch.save(of.where(f"(n * n - q) / 2 > {REFINE_PAIRS}").select("key"))
-        keys = open_keys.select("key").join(hot_keys.select("key", F.lit(True).alias("hot")), "key", "left").select("key", F.coalesce("hot", F.lit(False)).alias("hot"))
-        opened = scratch.save(labelled.join(keys, "key"))
-        # what lies in one component now stays so
-        members = opened.select("key", "id")
-        scratch.drop(labelled)
-        cold = opened.where("not hot").select("key", "id", "comp").join(sketches, "id").select("key", "id", "comp", "n", "p")
-        pairs = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_group_pairs(percent, turn < 2), "a long, b long").distinct()
-        links = scratch.save(links.union(verified(scratch.save(pairs))))
-        turn += 1
-        if turn <= 2:
-            continue
-        if not hot_keys.limit(1).count():
+    for mode in ("forest", "forest", "all"):
+        rows, compare = opened(members, components(links, scratch), sets)
+        pairs = scratch.save(in_groups(compare, mode))
+        if not pairs.limit(1).count():
             break
-        hot = opened.where("hot").groupBy("id").agg(F.collect_set("key").alias("hot"))
-        seed, turn = seed + 1, 0
-        with_text = docs.join(chosen.select("doc_id", "id"), "doc_id").dropDuplicates(["id"]).join(hot, "id").select("id", "text", "hot")
-        fine = scratch.save(with_text.mapInArrow(_refine(size, seed), "key long, id long"))
-        members = scratch.save(once(fine))
+        members = scratch.save(rows.select("key", "id"))
+        links = scratch.save(links.union(verified(pairs)))
 
     comp = components(links, scratch)
     # the least doc_id of a component
-    labelled = named.where("id <> 0").groupBy("id").agg(F.min("doc_id").alias("least"))
-    roots = comp.join(labelled, "id").groupBy("comp").agg(F.min("least").alias("root"))
+    least = named.where("id <> 0").groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
+    roots = comp.join(least, "id").groupBy("comp").agg(F.min("least").alias("root"))
     known = scratch.save(comp.join(roots, "comp").select("id", "root"))
-    repeated = named.where("id <> 0").groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1 or first is null").select("id", "first")
-    roots = scratch.save(known.join(repeated, "id", "full").select("id", F.coalesce("root", "first").alias("root")))
-    scratch.drop(texts)
+    repeated = least.where("c > 1 or least is null").select("id", "least")
+    roots = scratch.save(known.join(repeated, "id", "full").select("id", F.coalesce("root", "least").alias("root")))
+    scratch.drop(sets)
     return named.join(roots, "id", "left").select("doc_id", "n_shingles", F.coalesce("root", F.when(F.col("id") != 0, F.col("doc_id")), F.col("doc_id")).alias("component_id"))

@@ -110,10 +110,32 @@ def test_jaccard_components(docs):
 def test_jaccard_refines_hot_keys(docs, monkeypatch):
     monkeypatch.setattr(jaccard, "REFINE_PAIRS", 3)
     monkeypatch.setattr(jaccard, "REFINE_CLASSES", 2)
+    monkeypatch.setattr(jaccard, "REFINE_LEVELS", 1)
     want = brute_components([tuple(r) for r in docs.collect()])
     assert {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(docs).collect()} == want
 
 
+def test_jaccard_deals_large_groups_in_blocks(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "REFINE_CLASSES", 2)
+    monkeypatch.setattr(jaccard, "REFINE_LEVELS", 0)
+    want = brute_components([tuple(r) for r in docs.collect()])
+    assert {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(docs).collect()} == want
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    """Links go by text, not by doc_id."""
+    rnd = random.Random(4)
+    t1, t2 = ([f"w{rnd.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+    near = lambda t: " ".join([*t[:-1], "other"])
+    t1, t2, n1, n2 = " ".join(t1), " ".join(t2), near(t1), near(t2)
+    rows = [(1, t1), (1, t2), (2, n1), (3, n2), (None, n1)]
+    for order in (rows, rows[::-1]):
+        got = jaccard.jaccard_components(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted(((r[0] or 0, r[2]) for r in got)) == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1)]
+    got = jaccard.jaccard_components(spark.createDataFrame([(None, t1), (5, n1), (6, t2), (None, n2), (7, "x y")], "doc_id long, text string")).collect()
+    assert sorted(((r[0] or 0, r[2]) for r in got)) == [(0, 5), (0, 6), (5, 5), (6, 6), (7, 7)]
+
+
 def test_jaccard_edges(spark, empty):
     assert jaccard.jaccard_components(empty).count() == 0
     rows = [(None, "a b c"), (None, None), (5, "a b c"), (5, "a b c"), (6, None), (7, "")]
