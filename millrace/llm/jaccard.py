@@ -44,7 +44,7 @@ from .scratch import Scratch, shuffle_width
 from .textblocks import U, mix, mix1, shingle_sets, slices, trim, word_hashes
 
 #: A key of more classes than this is compared in blocks, and refined if it also needs more comparisons than this.
-REFINE_CLASSES, REFINE_PAIRS = 4_000, 16_000_000
+REFINE_CLASSES, REFINE_PAIRS = 1_000, 16_000_000
 #: Refinements of a key before its blocks are compared however many they are.
 REFINE_LEVELS = 5
 _FLUSH_KEYS = 800_000
@@ -437,16 +437,8 @@ def _refine(seed: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): every row of ``docs`` (doc_id, text, ...).
-
-    Two texts are linked when ``100 * |A & B| >= percent * |A | B|`` (percent >= 80).
-    Null and empty texts have an empty set, are linked with nothing and are their own
-    component.  A null doc_id keeps its row, and its text links like any other;
-    component_id is the least doc_id that is not null (null if there is none).  Repeated
-    doc_ids keep their rows, each with the component of its own text.  Further
-    columns of ``docs`` are ignored; an empty table gives an empty one.
-    """
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, th, n_shingles, id, component_id, group): every row of ``docs``; th: hash of its text, group: null for an empty set."""
     if not 80 <= percent <= 100:
         raise ValueError("percent: 80 to 100")
     spark = docs.sparkSession
@@ -456,7 +448,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     named = scratch.save(hashed.mapInArrow(_describe(size), "doc_id long, th long, n_shingles long, id long, p binary"))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     if not total:
-        return named.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return named.select("doc_id", "th", "n_shingles", "id", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
     width = shuffle_width(spark)
     buckets = max(2 * width, -(-total // 1_000_000))
     blocks = docs.select("text").mapInArrow(_pack(size, int(buckets)), _BLOCK)
@@ -557,8 +549,37 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     # the least doc_id of a component
     least = named.where("id <> 0").groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
     roots = comp.join(least, "id").groupBy("comp").agg(F.min("least").alias("root"))
-    known = scratch.save(comp.join(roots, "comp").select("id", "root"))
+    known = scratch.save(comp.join(roots, "comp").select("id", "comp", "root"))
     repeated = least.where("c > 1 or least is null").select("id", "least")
-    roots = scratch.save(known.join(repeated, "id", "full").select("id", F.coalesce("root", "least").alias("root")))
+    roots = scratch.save(known.join(repeated, "id", "full").select("id", "comp", F.coalesce("root", "least").alias("root")))
     scratch.drop(sets)
-    return named.join(roots, "id", "left").select("doc_id", "n_shingles", F.coalesce("root", F.when(F.col("id") != 0, F.col("doc_id")), F.col("doc_id")).alias("component_id"))
+    root = F.coalesce("root", F.when(F.col("id") != 0, F.col("doc_id")), F.col("doc_id"))
+    return named.join(roots, "id", "left").select("doc_id", "th", "n_shingles", "id", root.alias("component_id"), F.coalesce("comp", F.when(F.col("id") != 0, F.col("id"))).alias("group"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id): every row of ``docs`` (doc_id, text, ...).
+
+    Two texts are linked when ``100 * |A & B| >= percent * |A | B|`` (percent >= 80).
+    Null and empty texts have an empty set, are linked with nothing and are their own
+    component.  A null doc_id keeps its row, and its text links like any other;
+    component_id is the least doc_id that is not null (null if there is none).  Repeated
+    doc_ids keep their rows, each with the component of its own text.  Further
+    columns of ``docs`` are ignored; an empty table gives an empty one.
+    """
+    return _grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs``, whole: of each group of linked texts the one of the least doc_id.
+
+    Null doc_ids come after all others, ties go by a hash of the text.  Texts that are
+    linked with nothing stay, empty and null ones too.  Rows that repeat a doc_id and its
+    text are one document: one of them stays; different texts of one doc_id are different
+    documents.  An empty table gives an empty one.
+    """
+    rows = _grouped(docs, size, percent)
+    best = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("b")).select("b.doc_id", "b.th")
+    stay = best.union(rows.where("group is null").select("doc_id", "th")).select(F.xxhash64("doc_id", "th").alias("__row"))
+    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    return keyed.join(stay.distinct(), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

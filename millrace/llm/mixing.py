@@ -18,6 +18,7 @@ third of all rows is spread over all tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, shuffle_width
 
 WORDS = r"[^\x20\x09-\x0D]+"
+#: Documents that fill what is left of a source's target where no document may be cut.
+FILL = 4
 
 
 def n_words(text: Column) -> Column:
@@ -52,13 +55,15 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     return rows.select("source", "source_size", "ordinal", F.count("*").over(Window.partitionBy()).alias("sources"), target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most_repeats: float = 2.0, keep: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most_repeats: float = 2.0, keep: bool = False, whole: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, taken, ...): one row for each row of ``docs``.
 
     ``taken`` words are ``repeats`` whole copies and, for the one document of a source
     at which its target is reached, ``part`` words of one more.  Also: ``source``,
     ``before`` (words of the source ahead of the document in its order), ``ordinal``,
-    ``sources`` and, with ``keep``, the whole row as a struct ``row``.
+    ``sources`` and, with ``keep``, the whole row as a struct ``row``.  With ``whole`` no
+    document is taken in part: what is left of a source's target goes to a few documents
+    not yet taken, each the largest that fits, the last one that whose size comes nearest.
 
     The order within a source is that of a digest of doc_id (null last), then the text;
     rows that are equal in both are taken one after the other.  Null texts have size
@@ -67,26 +72,45 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    whole = [F.struct(*docs.columns).alias("row")] if keep else []
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string")).alias("_order"), F.xxhash64("text").alias("_tie"), *whole)
-    cells = min(4096, 4 * shuffle_width(spark))
-    place = F.coalesce(F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"), F.lit(4096))
-    rows = rows.withColumn("_cell", F.floor(place * cells / 4096).cast("int"))
-    rows = rows if keep else scratch.save(rows)
-    cell = rows.groupBy("source", "_cell").agg(F.sum("size").alias("cell_size"))
-    ahead = Window.partitionBy("source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cell = scratch.save(cell.select("source", "_cell", "cell_size", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)).alias("cell_before")))
-    aims = scratch.save(targets(cell.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, most_repeats))
-    at = cell.join(aims, cell["source"].eqNullSafe(aims["source"])).select(cell["source"].alias("_source"), F.col("_cell").alias("_c"), "cell_before", "source_size", "ordinal", "sources", "target")
-    inner = Window.partitionBy("source", "_cell").orderBy("_order", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    rows = rows.join(at, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_cell") == F.col("_c")))
-    rows = rows.withColumn("before", F.col("cell_before") + F.col("_within"))
+    # a source as a key that is never null, so that window and join share one shuffle
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    rows = docs.select("doc_id", "source", key.alias("_source"), n_words(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string")).alias("_order"), F.xxhash64("text").alias("_tie"), *([F.struct(*docs.columns).alias("row")] if keep else []))
+    # cells are ranges of a source's order; rows without an id come last, by the digest of their text
+    cells, span = 4 * shuffle_width(spark), 1 << 24
+    place = F.coalesce(F.conv(F.substring("_order", 1, 6), 16, 10).cast("long"), F.shiftright("_tie", 40) + span + span // 2)
+    rows = rows.withColumn("_cell", F.floor(place * cells / span).cast("int"))
+    narrow = scratch.save(rows.drop("row"))
+    cell = narrow.groupBy("_source", "_cell").agg(F.sum("size").alias("cell_size"), F.first("source").alias("source"))
+    ahead = Window.partitionBy("_source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cell = scratch.save(cell.select("_source", "source", "_cell", "cell_size", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)).alias("cell_before")))
+    aims = targets(cell.groupBy("_source").agg(F.first("source").alias("source"), F.sum("cell_size").alias("source_size")).drop("_source"), weights, share, most_repeats)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    repeats = F.floor(ratio + 1e-12).cast("long")
-    more = F.round(F.col("target") - repeats * F.col("source_size")).cast("long")
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), more - F.col("before")))
-    rows = rows.withColumns({"repeats": repeats, "part": part})
+    aims = aims.withColumn("repeats", F.floor(ratio + 1e-12).cast("long"))
+    aims = scratch.save(aims.withColumn("more", F.round(F.col("target") - F.col("repeats") * F.col("source_size")).cast("long")))
+    at = cell.join(aims, cell["source"].eqNullSafe(aims["source"])).select("_source", "_cell", "cell_before", "source_size", "ordinal", "sources", "target", "repeats", "more")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        inner = Window.partitionBy("_source", "_cell").orderBy("_order", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+        return rows.join(at, ["_source", "_cell"]).withColumn("before", F.col("cell_before") + F.col("_within"))
+
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("more") - F.col("before")))
+    if whole:
+        late = scratch.save(placed(narrow).where("size > 0 and before + size > more").select("_source", "before", "size", "more"))
+        gap = late.groupBy("_source").agg(F.min("before").alias("first"), F.max("more").alias("more")).selectExpr("_source", "greatest(0L, more - first) AS gap")
+        picks = []
+        for turn in range(FILL):  # a row for each source at most
+            fits = "abs(size - gap) <= gap AND gap > 0" if turn == FILL - 1 else "size <= gap"
+            off = F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("before"), F.col("size"))
+            best = scratch.save(late.join(gap, "_source").where(fits).groupBy("_source").agg(F.min(off).alias("l")).selectExpr("_source", "l.before AS before", "l.size AS _picked"))
+            picks.append(best.select("_source", "before"))
+            late = late.join(picks[-1], ["_source", "before"], "left_anti")
+            gap = scratch.save(gap.join(best, "_source", "left").selectExpr("_source", "gap - coalesce(_picked, 0L) AS gap"))
+        last = reduce(DataFrame.union, picks).groupBy("_source").agg(F.collect_list("before").alias("last"))
+        at = at.join(last, "_source", "left")
+        chosen = F.coalesce(F.array_contains("last", F.col("before")), F.lit(False)) & (F.col("size") > 0)
+        part = F.when((F.col("before") + F.col("size") <= F.col("more")) | chosen, F.col("size")).otherwise(F.lit(0).cast("long"))
+    rows = placed(rows if keep else narrow).withColumn("part", part)
     taken = (F.col("repeats") * F.col("size") + F.col("part")).alias("taken")
     return rows.select("doc_id", "source", "size", "source_size", "target", taken, "repeats", "part", "before", "ordinal", "sources", *(["row"] if keep else []))
 
@@ -94,6 +118,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 def positions(mixed: DataFrame, drift: float = 0.5) -> DataFrame:
     """One row for each copy that the mix takes: ``copy`` (from 0), ``words`` (of the copy) and ``position`` in [0, 1].
 
+    A document without words is taken as often as its source is taken whole.
+
     Demand by time t is target * (t * (1 + s) - s * t * t), s the source's slope.
     """
     n = F.col("repeats") + (F.col("part") > 0).cast("long")
@@ -103,7 +129,7 @@ def positions(mixed: DataFrame, drift: float = 0.5) -> DataFrame:
     s = F.when(F.col("sources") > 1, drift * (1 - 2 * F.col("ordinal") / (F.col("sources") - 1))).otherwise(0.0)
     root = F.sqrt(F.greatest(F.lit(0.0), (1 + s) * (1 + s) - 4 * s * done))
     t = F.when(F.abs(s) < 1e-9, done).otherwise(((1 + s) - root) / (2 * s))
-    return rows.withColumns({"words": words, "position": F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))}).where("words > 0")
+    return rows.withColumns({"words": words, "position": F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))})
 
 
 def in_order(copies: DataFrame) -> DataFrame:
@@ -123,7 +149,7 @@ def deal(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     copies = scratch.save(in_order(positions(mixed, drift)))
     # rows with words differ in what stands before them in their source
     row = ["doc_id", "size", "source_size", "target"]
-    dealt = copies.groupBy("ordinal", "before", *row).agg(F.sum("words").alias("taken"), F.count("*").alias("copies"), F.min("position").alias("position"))
+    dealt = copies.where("words > 0").groupBy("ordinal", "before", *row).agg(F.sum("words").alias("taken"), F.count("*").alias("copies"), F.min("position").alias("position"))
     zero = F.lit(0).cast("long")
     left = mixed.where("size = 0 or repeats + part = 0").select(*row, zero.alias("taken"), zero.alias("copies"), F.lit(None).cast("double").alias("position"))
     return dealt.select(left.columns).unionByName(left).orderBy(F.col("position").asc_nulls_last(), "doc_id")

@@ -142,6 +142,8 @@ def test_pipeline(spark):
     assert mixed.columns == columns
     n = lambda df: sum(len((r["text"] or "").split()) for r in df.collect())
     assert abs(n(mixed) - 1.5 * n(alone)) < 0.02 * n(alone)
+    # texts stay whole
+    assert {(r["doc_id"], r["text"], r["n_chars"]) for r in mixed.collect()} <= {(r["doc_id"], r["text"], r["n_chars"]) for r in alone.collect()}
     packed = corpus_pipeline.STAGES[3][1](spark, mixed, SF)
     assert packed.agg({"length": "sum"}).first()[0] > 0 and {r[0] for r in packed.select("doc_id").collect()} == {r[0] for r in mixed.select("doc_id").collect()}
 
@@ -158,6 +160,12 @@ def test_pipeline_stages_with_odd_rows(spark, tmp_path):
             assert out.count() >= 0
     assert corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).count() == 4
     assert corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path)).count() == 4
+    # groups go by text, not by doc_id
+    t1, t2 = (" ".join(f"{x}{i}" for i in range(60)) for x in "pq")
+    odd = [(1, t1), (1, t2), (2, t1 + " z"), (None, t2), (None, "u v w"), (None, "u v w"), (None, None)]
+    odd = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in odd], docs.schema)
+    got = corpus_pipeline.STAGES[1][1](spark, odd, str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, t1), (1, t2), (None, "u v w"), (None, None)], key=str)
 
 
 def test_queries_are_registered():

@@ -326,6 +326,33 @@ def test_mixing_keeps_rows_that_repeat(spark):
     assert mixing.positions(m).count() >= 3
 
 
+def test_mixing_takes_whole_copies_of_rows_without_words(spark):
+    d = spark.createDataFrame([(1, "a b c", "s"), (2, "", "s"), (3, None, "s"), (4, "x", "t")], "doc_id long, text string, source string")
+    copies = mixing.positions(mixing.mix(d)).collect()
+    times = Counter(r["doc_id"] for r in copies)
+    assert times[2] == times[3] == min(r["repeats"] for r in copies if r["source"] == "s")
+
+
+def test_mixing_whole_documents(docs):
+    cut = {(r["source"], r["doc_id"]): r for r in mixing.mix(docs).collect()}
+    rows = mixing.mix(docs, whole=True).collect()
+    assert all(r["taken"] % r["size"] == 0 if r["size"] else r["taken"] == 0 for r in rows)
+    for source in {r["source"] for r in rows}:
+        mine = [r for r in rows if r["source"] == source]
+        more = round(mine[0]["target"] - mine[0]["repeats"] * mine[0]["source_size"])
+        first = [r for r in mine if r["before"] + r["size"] <= more]
+        gap = more - sum(r["size"] for r in first)
+        rest = sorted(r["size"] for r in mine if r["before"] + r["size"] > more and r["size"])
+        for turn in range(mixing.FILL):
+            fits = [x for x in rest if (abs(x - gap) <= gap and gap > 0 if turn == mixing.FILL - 1 else x <= gap)]
+            if fits:
+                pick = min(fits, key=lambda x: abs(x - gap))
+                rest.remove(pick)
+                gap -= pick
+        assert abs(sum(r["part"] for r in mine) - more) == abs(gap)
+        assert all(r["part"] == r["size"] == cut[(source, r["doc_id"])]["part"] for r in first)
+
+
 def test_first_words(spark):
     d = spark.createDataFrame([("  a  b\tc\n", 2), ("a b", 1), ("x", 5)], "t string, n long")
     assert [r[0] for r in d.select(mixing.first_words(d["t"], d["n"])).collect()] == ["  a  b", "a", "x"]
