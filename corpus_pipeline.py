@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject; null and empty texts stay, repeated rows are judged alike."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model)
 
@@ -26,28 +26,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked texts, the document of the least doc_id; documents linked with nothing stay.
 
-    Rows that repeat a doc_id and its text are copies of each other: one stays.
+    Groups go by text: different texts of one doc_id are different documents, and texts
+    without a doc_id are grouped like all others.  Rows that repeat a doc_id and its text
+    are one document: one of them stays.
     """
-    groups = jaccard.jaccard_components(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    alone = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(alone)
+    return jaccard.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies that the mix takes, in training order; a document taken twice is two rows.
 
-    The one document of a source that is taken in part is cut after that many words.
+    Texts stay whole: what is left of a source's target goes to a few documents whose sizes come
+    nearest to it.  Null and empty texts are taken as often as their source is taken whole.
     """
-    copies = mixing.in_order(mixing.positions(mixing.mix(docs, keep=True)))
-    part = F.col("words") < F.col("size")
-    text = F.when(part, mixing.first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
-    changed = {"text": text, "n_chars": F.when(part, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)}
-    return copies.select(*[changed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    copies = mixing.in_order(mixing.positions(mixing.mix(docs, keep=True, whole=True)))
+    return copies.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each copy lies in the training sequences."""
+    """Where each piece of each copy lies in the training sequences; null texts are a piece of the end id alone, repeated rows are packed each."""
     return packing.pack(docs, tokenizer_path())
 
 
