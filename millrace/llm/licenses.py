@@ -11,7 +11,9 @@ number of bigrams allows: an equi-join on that number with a small table of lite
 prose: windows of words over the whole normalised text.  A window that reaches
 the threshold lacks at most so many of a template's bigrams, so of any larger number
 of them it holds one.  Those with telling words are the anchors; only texts with such
-a word, and in them only stretches around an anchor, are compared.  DataFrame functions only.
+a word, and in them only stretches around an anchor, are compared.  The same holds for lines and
+whole texts, so texts without any telling word are read and searched, but not cut into lines.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 THRESHOLD = 0.8
 #: Notices by SPDX identifier.
 TEMPLATES = (
@@ -104,17 +108,16 @@ def _pairs(words):
     return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1))))
 
 
-def _windows(docs: DataFrame, found, threshold: float) -> DataFrame:
-    """(doc_id, key, license, dice, first, last, from, to): the best window about each anchor, by lines and by bigrams."""
-    found = [(name, b) for _, name, b in found if b]
-    words, telling = anchors([b for _, b in found], threshold)
+def _windows(docs: DataFrame, met: DataFrame, found, telling, threshold: float) -> DataFrame:
+    """(doc_id, key, license, dice, first, last, from, to): the best window about each anchor, by lines and by bigrams.
+
+    Anchors on a line that matches by itself (``met``) are left out: no window may touch such a line.
+    """
+    found = [(name, b) for _, name, b in found]
     known = [(g, name, len(b), min(allowed_sizes(len(b), threshold)), max(allowed_sizes(len(b), threshold)), b) for (name, b), held in zip(found, telling) for g in held]
     table = docs.sparkSession.createDataFrame(known, "anchor string, license string, size int, low int, high int, want array<string>")
     reach = max((r[4] for r in known), default=1)
-    low = F.lower(F.col("text"))
-    # in a lambda, so that the text is lowered once and not for each word
-    docs = docs.where(F.exists(F.array(low), lambda t: reduce(or_, (t.contains(w) for w in words), F.lit(False))))
-    lines = F.transform(F.split(F.regexp_replace(low, _DROP, " "), "\n"), lambda t: F.filter(F.split(t, " "), lambda w: w != ""))
+    lines = F.transform(F.split(F.regexp_replace(F.lower(F.col("text")), _DROP, " "), "\n"), lambda t: F.filter(F.split(t, " "), lambda w: w != ""))
     # words must be an array of its own: a field of an array of structs would be cut out again for every word
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), lines.alias("by_line"))
     rows = rows.select("doc_id", "key", F.flatten("by_line").alias("words"), F.flatten(F.transform("by_line", lambda ws, i: F.array_repeat(i, F.size(ws)))).alias("lines"))
@@ -123,7 +126,9 @@ def _windows(docs: DataFrame, found, threshold: float) -> DataFrame:
     # what stands around an anchor is cut out before the rows are multiplied
     start = lambda x: F.greatest(F.lit(1), x["at"] - (reach - 1))
     about = F.transform(places, lambda x: F.struct(x["anchor"].alias("anchor"), x["at"].alias("at"), start(x).alias("start"), F.slice("grams", start(x), x["at"] - start(x) + reach).alias("near"), F.slice("lines", start(x), x["at"] - start(x) + reach + 1).alias("lines")))
-    rows = rows.select("doc_id", "key", F.explode_outer(about).alias("a")).select("doc_id", "key", "a.*")
+    rows = rows.select("doc_id", "key", F.explode(about).alias("a")).select("doc_id", "key", "a.*").withColumn("line", F.element_at("lines", F.col("at") - F.col("start") + 1))
+    lone = met.where("not whole").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("line").alias("_l")).distinct()
+    rows = rows.join(lone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")) & (F.col("line") == F.col("_l")), "left_anti").drop("line")
     rows = rows.join(F.broadcast(table), "anchor").withColumn("c", F.col("at") - F.col("start") + 1)
     # a best window begins and ends with a bigram of the template
     held = F.filter(F.sequence(F.lit(1), F.size("near")), lambda k: F.array_contains(F.col("want"), F.element_at("near", k)))
@@ -165,9 +170,13 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     Further columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    found = [(i, name, bigrams(text)) for i, (name, text) in enumerate(templates)]
-    rows = [(n, i, name, len(b), b) for i, name, b in found if b for n in allowed_sizes(len(b), threshold)]
+    found = [(i, name, b) for i, (name, text) in enumerate(templates) if (b := bigrams(text))]
+    words, telling = anchors([b for _, _, b in found], threshold)
+    rows = [(n, i, name, len(b), b) for i, name, b in found for n in allowed_sizes(len(b), threshold)]
     table = spark.createDataFrame(rows, "n int, template int, license string, size int, want array<string>")
+    ids = docs.select("doc_id").distinct()
+    # whatever matches holds an anchor; in a lambda, so that the text is lowered once and not for each word
+    docs = docs.where(F.exists(F.array(F.lower(F.col("text"))), lambda t: reduce(or_, (t.contains(w) for w in words), F.lit(False))))
     text = F.regexp_replace(F.lower(F.col("text")), _DROP, " ")
     lines = F.split(text, "\n")
     units = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.translate(text, "\n", " ")))).otherwise(lines)
@@ -181,9 +190,10 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     met = rows.join(F.broadcast(table), "n").where(F.arrays_overlap("have", "want"))
     met = met.select("doc_id", "key", "line", "whole", "license", (2.0 * _common(F.col("have"), F.col("want")) / (F.col("n") + F.col("size"))).alias("dice")).where(F.col("dice") >= threshold)
     if windows:
+        met = Scratch(spark).save(met)
         spot = "struct<first: int, last: int, from: int, to: int, dice: double, license: string>"
         lone = met.select("doc_id", "key", "line", "whole", "license", "dice", F.lit(None).cast(spot).alias("w"))
-        wide = _windows(docs, found, threshold).select("doc_id", "key", F.lit(None).cast("int").alias("line"), F.lit(False).alias("whole"), F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"), F.struct("first", "last", "from", "to", "dice", "license").cast(spot).alias("w"))
+        wide = _windows(docs, met, found, telling, threshold).select("doc_id", "key", F.lit(None).cast("int").alias("line"), F.lit(False).alias("whole"), F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"), F.struct("first", "last", "from", "to", "dice", "license").cast(spot).alias("w"))
         rank = F.when(F.col("line").isNotNull(), F.struct((-F.col("dice")).alias("d"), F.col("license")))
         each = lone.unionByName(wide).groupBy("doc_id", "key").agg(F.min(rank).alias("b"), F.collect_set("line").alias("lines"), F.max("whole").alias("whole"), F.collect_set("w").alias("ws"))
         free = F.filter("ws", lambda w: ~F.col("whole") & ~F.exists("lines", lambda x: (x >= w["first"]) & (x <= w["last"])))
@@ -193,12 +203,11 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     else:
         best = met.groupBy("doc_id").agg(F.min(F.struct((-F.col("dice")).alias("d"), F.col("license"))).alias("b"), F.count_distinct("line").alias("n_matches"))
     best = best.select(F.col("doc_id").alias("_d"), F.col("b.license").alias("license"), (-F.col("b.d")).alias("dice"), "n_matches")
-    ids = docs.select("doc_id").distinct()
     return ids.join(best, F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("doc_id", "license", "dice", F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"))
 
 
 def rows_of(found, threshold):
-    return [(n,) for _, _, b in found if b for n in allowed_sizes(len(b), threshold)]
+    return [(n,) for _, _, b in found for n in allowed_sizes(len(b), threshold)]
 
 
 def scan_sql(templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
