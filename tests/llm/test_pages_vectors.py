@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -43,6 +44,45 @@ def test_consensus_helps_a_page_with_a_longer_side_text(spark):
     assert "beside" not in got[9] and got[9].count("story") == 3
 
 
+PROSE = "One of many words stands here. " * 20
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<div class="post type-post tag-food"><p>{PROSE}</p></div>', [PROSE]),
+        (f'<body class="has-sidebar no-footer"><div class="main-content no-sidebar"><p>{PROSE}</p><div class="sidebar"><p>{PROSE}</p></div></div></body>', [PROSE]),
+        (f'<div aria-label="Social media and youth"><p>{PROSE}</p></div>', [PROSE]),
+        ('<article><p class="note legal">Legal text stands here.</p><h2 id="comment-on-x">On x</h2><p>More.</p></article>', ["Legal text stands here.", "On x", "More."]),
+        (f"<header><p>A header of the site stands here.</p></header><article><header><h1>Title</h1></header><p>{PROSE}</p></article>", ["Title", PROSE]),
+        (f'<div class="wrap"><div class="lead"><p>A lead paragraph of more than nine words stands here, in front.</p></div><div class="body"><p>{PROSE * 4}</p></div></div>', ["A lead paragraph of more than nine words stands here, in front.", PROSE * 4]),
+        (f'<article><p>Short &amp; sweet<br>text.</p></article><section id="comments"><article class="comment"><p>{PROSE}</p></article></section>', ["Short & sweet text."]),
+        (f'<div class="cookie-banner"><p>{PROSE}</p></div><div class="x"><p>{PROSE}</p><div class="share-buttons">Share this.</div></div>', [PROSE]),
+        ('<p>before <span class="ad">buy this</span> after</p>', ["before after"]),
+        ('<div class="sidebar"><p>Only this stands here.</p></div>', ["Only this stands here."]),
+    ],
+)
+def test_what_belongs_to_an_article(page, want):
+    assert html_extract.main_text(page) == "\n\n".join(w.strip() for w in want)
+
+
+def test_long_odd_pages_take_linear_time():
+    n = 200_000
+    began = time.process_time()
+    assert html_extract.main_text("<div>" * n + "Text here.") == "Text here."
+    for page in ('<a "' * n, '<a "x>' * n + "'", "<b>" * n + "</i>" * n, "<p><b>" * n, "<" * n, "<!" * n, "<div>x</span>" * n, "<!--" * n):
+        html_extract.main_text(page)
+    assert time.process_time() - began < 40
+
+
+def test_extract_without_broadcast(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.org/{i}", f"<article><p>{PROSE} {i}</p></article>") for i in range(20)] + [(90, None, None), (None, "x", "")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(str, html_extract.extract(d).collect()))
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, html_extract.extract(d).collect())) == want and len(want) == 22
+
+
 def test_url_rules(spark):
     cases = [
         ("https://a.com/en/7", "com/en/", "block"), ("https://x.EXAMPLE.com/en/77?q", "example.com/en/7", "allow"), ("http://example.com/en/1", "com/en/", "block"), ("http://notexample.com/en/7", "com/en/", "block"),
