@@ -187,12 +187,13 @@ def _search(k: int, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i] for c in ("n", "ids", "x", "edges", "q_ids", "q")}
+                r = {c: batch.column(c)[i] for c in ("n", "ids", "x", "edges", "q_ids", "q_copies", "q")}
                 n = r["n"].as_py()
                 least = np.frombuffer(r["ids"].as_buffer(), np.int64).reshape(n, k + 1)
                 x = np.frombuffer(r["x"].as_buffer(), np.float64).reshape(n, -1)
                 edges = np.frombuffer(r["edges"].as_buffer(), np.int32).reshape(n, -1)
                 q_ids = np.array(r["q_ids"].as_py(), np.int64)
+                copies = r["q_copies"].as_py()
                 q = np.array(r["q"].as_py(), np.float64).reshape(len(q_ids), -1)
                 norms, q_norms = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", q, q))
                 g = Graph.__new__(Graph)
@@ -210,9 +211,9 @@ def _search(k: int, beam: int):
                         ok = (ids >= 0) & (ids != q_ids[a + j])
                         ids, sc = ids[ok], sc[ok]
                         top = np.lexsort((ids, -sc))[:k]
-                        rows += [(int(q_ids[a + j]), int(v), float(c)) for v, c in zip(ids[top], sc[top])]
+                        rows += [(int(q_ids[a + j]), copies[a + j], int(v), float(c)) for v, c in zip(ids[top], sc[top])]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "copy", "vec_id", "score"])
 
     return run
 
@@ -230,8 +231,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHA
     Both have (vec_id, embedding).  Nearness is the cosine in double precision, ties to
     the smaller vec_id; equal vectors are one node that holds its least ids, so ties
     among copies are exact.  Vectors meet only vectors of their own length.  Null, zero
-    and non-finite vectors take no part; repeated ids are rows of their own.  An empty
-    table gives an empty one.
+    and non-finite vectors take no part.  Repeated ids are rows of their own: queries that
+    share an id have an answer each, and rows that share the query's id are left out of it.
+    An empty table gives an empty one.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -249,11 +251,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHA
     asked = usable(queries)
     total = asked.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
-    asked = asked.withColumn("d", F.size("embedding")).where(F.col("d").isin(list(many))).groupBy("d", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b"))
-    asked = asked.agg(F.collect_list(F.struct("vec_id", "embedding")).alias("r")).select("d", "b", F.col("r.vec_id").alias("q_ids"), F.flatten("r.embedding").alias("q"))
+    # queries that share an id are told apart by the order of their vectors' hashes
+    twins = Window.partitionBy("vec_id").orderBy(F.xxhash64("embedding"))
+    asked = asked.withColumn("copy", F.row_number().over(twins)).withColumn("d", F.size("embedding")).where(F.col("d").isin(list(many))).groupBy("d", F.pmod(F.xxhash64("vec_id", "copy"), F.lit(blocks)).alias("b"))
+    asked = asked.agg(F.collect_list(F.struct("vec_id", "copy", "embedding")).alias("r")).select("d", "b", F.col("r.vec_id").alias("q_ids"), F.col("r.copy").alias("q_copies"), F.flatten("r.embedding").alias("q"))
     counted = F.element_at(counts, F.col("d")).cast("long")
     asked = asked.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), counted - 1), lambda i: F.col("d").cast("long") * width + i)))
-    met = asked.repartition(max(sum(many.values()), shuffle_width(spark)), "shard", "b").join(index, "shard").select("n", "ids", "x", "edges", "q_ids", "q")
-    found = met.mapInArrow(_search(k, beam), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = asked.repartition(max(sum(many.values()), shuffle_width(spark)), "shard", "b").join(index, "shard").select("n", "ids", "x", "edges", "q_ids", "q_copies", "q")
+    found = met.mapInArrow(_search(k, beam), "query_id long, copy int, vec_id long, score double")
+    order = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

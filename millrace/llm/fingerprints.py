@@ -128,31 +128,43 @@ def fingerprint_edits(docs: DataFrame, size: int = 5, perms: int = PERMS) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = max(2, shuffle_width(docs.sparkSession))
     ids = docs.select("doc_id").where("doc_id is not null")
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []), reverse=True)
-    cuts = [int(c) for c in cuts]
-    # run 0 has the ids above cuts[0], and so on; null ids are the last run of all
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    run = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(edges, lambda c: F.col("doc_id") <= c)))
-    docs = docs.withColumn("run", run.cast("int"))
+    cuts = sorted({int(c) for c in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)}, reverse=True)
+    # rows without an id are ordered, and cut into ranges, by their digest
+    digest = F.when(F.col("doc_id").isNull(), F.sha2("text", 256))
+    after = F.lit(len(cuts) + 1) + F.floor(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") * parts / (1 << 24)).cast("int")
+    docs = docs.withColumn("run", F.coalesce(after, _cuts_from(F.col("doc_id"), cuts)).cast("int"))
     order = [F.col("doc_id").desc_nulls_last(), F.sha2("text", 256)]
     # the first of each run: one row for each of the ranges, as many as shuffle partitions allow
-    heads = docs.groupBy("run").agg(F.max("doc_id").alias("doc_id"), F.min(F.when(F.col("doc_id").isNull(), F.sha2("text", 256))).alias("digest")).orderBy("run").collect()
+    heads = docs.groupBy("run").agg(F.max("doc_id").alias("doc_id"), F.min(digest).alias("digest")).orderBy("run").collect()
     if not heads:
         return docs.select("doc_id", "text", F.col("run"), F.lit(False).alias("last")).select("run", "last", "doc_id", "text").mapInArrow(_edits(size, perms), _EDITS)
-    runs = [h["run"] for h in heads]
-    ends_for = {h["run"]: runs[i - 1] for i, h in enumerate(heads)}
+    before = {h["run"]: heads[i - 1]["run"] for i, h in enumerate(heads)}
     # an id tells its run; of null ids the least text comes first
     known = [h["doc_id"] for h in heads if h["doc_id"] is not None]
-    is_head = F.when(F.col("doc_id").isNull(), F.sha2("text", 256) == F.lit(heads[-1]["digest"])).otherwise(F.col("doc_id").isin(known))
-    into = F.element_at(F.create_map(*[F.lit(x) for kv in ends_for.items() for x in kv]), F.col("run"))
+    first = [h["digest"] for h in heads if h["digest"] is not None]
+    is_head = F.when(F.col("doc_id").isNull(), digest.isin(first)).otherwise(F.col("doc_id").isin(known))
+    into = F.element_at(F.array(*[F.lit(before.get(i, 0)) for i in range(heads[-1]["run"] + 1)]), F.col("run") + 1)
     here = F.struct(F.col("run").alias("run"), F.lit(False).alias("last"))
     copy = F.struct(into.alias("run"), F.lit(True).alias("last"))
     both = docs.select("doc_id", "text", F.explode(F.when(is_head, F.array(here, copy)).otherwise(F.array(here))).alias("at"))
     rows = both.select(F.col("at.run").alias("run"), F.col("at.last").alias("last"), "doc_id", "text")
-    rows = rows.repartition(len(runs), "run").sortWithinPartitions("run", "last", *order)
+    # each range goes to a task of its own
+    rows = rows.repartitionById(heads[-1]["run"] + 1, F.col("run")).sortWithinPartitions("run", "last", *order)
     return rows.mapInArrow(_edits(size, perms), _EDITS)
 
 
+def _cuts_from(id_, cuts: list[int]):
+    """How many of ``cuts`` (descending) are not under ``id_``, found in two steps of about the square root of them each."""
+    step = max(1, int(len(cuts) ** 0.5))
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    if not blocks:
+        return F.lit(0)
+    longs = lambda xs: F.array(*[F.lit(c).cast("long") for c in xs])
+    whole = F.size(F.filter(longs(b[-1] for b in blocks), lambda c: id_ <= c))
+    rest = F.element_at(F.array(*[longs(b) for b in blocks], F.array().cast("array<bigint>")), whole + 1)
+    return F.least(F.lit(len(cuts)), whole * step + F.size(F.filter(rest, lambda c: id_ <= c)))
+
+
 _EDITS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 # --- near duplicates ---------------------------------------------------------------------------

@@ -452,7 +452,7 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     width = shuffle_width(spark)
     buckets = max(2 * width, -(-total // 1_000_000))
     blocks = docs.select("text").mapInArrow(_pack(size, int(buckets)), _BLOCK)
-    met = scratch.save(blocks.repartition(int(max(width, buckets // 2)), "bucket").mapInArrow(_shared, "key long, id long, least long"))
+    met = scratch.save(blocks.repartitionById(int(max(width, buckets // 2)), F.col("bucket")).mapInArrow(_shared, "key long, id long, least long"))
 
     # of each class that shares a key: its size, its sketch, and by its hash the text that stands for it
     classes = named.where("id <> 0").groupBy("id").agg(F.min("th").alias("th"), F.max("n_shingles").alias("n"), F.first("p").alias("p"))

@@ -296,11 +296,11 @@ def score(docs: DataFrame, backoff_at_most: int = COMMON) -> DataFrame:
     table = (often["w"].to_numpy().astype(U), often["n"].to_numpy()) if total else (np.zeros(0, U), np.zeros(0, np.int64))
     common = spark.sparkContext.broadcast(table)
     buckets = max(12, -(-total // BUCKET))
-    blocks = docs.mapInArrow(_bigrams(buckets, common), _BLOCK).repartition(buckets, "bucket")
+    blocks = docs.mapInArrow(_bigrams(buckets, common), _BLOCK).repartitionById(buckets, F.col("bucket"))
     sums = blocks.mapInArrow(_score_bigrams(buckets, common, total, "sums"), _BLOCK)
     rare = blocks.mapInArrow(_score_bigrams(buckets, common, total, "rare"), _BLOCK)
-    rare = rare.unionByName(words.mapInArrow(_unigram_blocks(buckets), _BLOCK)).repartition(buckets, "bucket").mapInArrow(_score_rare(buckets, total), _BLOCK)
-    parts = sums.unionByName(rare).repartition(buckets, "bucket").mapInArrow(_add_up, "doc_id long, s double, n long, back long")
+    rare = rare.unionByName(words.mapInArrow(_unigram_blocks(buckets), _BLOCK)).repartitionById(buckets, F.col("bucket")).mapInArrow(_score_rare(buckets, total), _BLOCK)
+    parts = sums.unionByName(rare).repartitionById(buckets, F.col("bucket")).mapInArrow(_add_up, "doc_id long, s double, n long, back long")
     out = docs.select("doc_id").distinct().join(parts, "doc_id", "left")
     n = F.coalesce("n", F.lit(0).cast("long"))
     return out.select(

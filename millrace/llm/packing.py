@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, shuffle_width
 
-#: Words as they stand, and stems, whose ids a Python worker keeps.
-CACHE_WORDS, CACHE_STEMS = 400_000, 450_000
+#: Bytes, about, of the words as they stand and of the stems whose ids a Python worker keeps, and the longest of them.
+CACHE_BYTES, CACHED_LENGTH = 170_000_000, 32
+ENTRY = 230  # two objects and a place in the table
 _tokenizers: dict[str, tuple] = {}
 #: Characters that Python takes for white space and the tokenizer does not.
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -46,12 +47,23 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
+class _Cache(dict):
+    """Ids of words; ``trim`` empties it when it outgrows its share of memory."""
+
+    used = 0
+
+    def trim(self, share: float) -> None:
+        if self.used > share * CACHE_BYTES:
+            self.clear()
+            self.used = 0
+
+
 def _tokenizer(path: str):
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        _tokenizers[path] = (t, t.model, {}, {})
+        _tokenizers[path] = (t, t.model, _Cache(), _Cache())
     return _tokenizers[path]
 
 
@@ -65,11 +77,12 @@ def _word_ids(word: str, path: str) -> bytes:
         if part:
             ids = stems.get(part)
             if ids is None:
-                if len(stems) >= CACHE_STEMS:
-                    stems.clear()
                 letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
                 found = [t.id for t in model.tokenize(letters)]
-                ids = stems[part] = struct.pack(f"<{len(found)}I", *found)
+                ids = struct.pack(f"<{len(found)}I", *found)
+                if len(part) <= CACHED_LENGTH:
+                    stems[part] = ids
+                    stems.used += ENTRY + len(part) + len(ids)
             out.append(ids)
     return b"".join(out)
 
@@ -79,21 +92,33 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 
     The tokenizer drops white space and never merges across it, nor across the border
     of letters and signs, so ids are looked up word by word.  Exactly the tokenizer's
-    own ids for the whole text (tested).
+    own ids for the whole text (tested).  Long words, and texts that can't be cut into
+    words here, are not kept.
     """
-    known = _tokenizer(path)[2]
+    _, _, known, stems = _tokenizer(path)
+    known.trim(0.6)
+    stems.trim(0.4)
     words = [[t] if any(c in t for c in _ODD) else t.split() for t in texts]
-    if len(known) > CACHE_WORDS:
-        known.clear()
+    long: dict[str, bytes] = {}
+    used = entries = 0
     for w in set().union(*words).difference(known):
-        known[w] = _word_ids(w, path)
-    return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        ids = _word_ids(w, path)
+        if len(w) <= CACHED_LENGTH:
+            known[w] = ids
+            used += len(w) + len(ids)
+            entries += 1
+        else:
+            long[w] = ids
+    known.used += used + ENTRY * entries
+    find = (lambda w: long[w] if len(w) > CACHED_LENGTH else known[w]) if long else known.__getitem__
+    return [b"".join(map(find, ws)) for ws in words]
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = 0
         for batch in batches:
             a, n = 0, batch.num_rows
             sizes = np.cumsum([len(x) if x is not None else 0 for x in (v.as_buffer() for v in batch.column("text").cast(pa.large_string()))])
@@ -104,13 +129,14 @@ def _pieces(path: str, capacity: int, end_id: int):
                 rows = []
                 for doc, data in zip(ids, encode(texts, path)):
                     data += end
+                    salt = salt + 1 if doc is None else 0
                     for p, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]
-                        rows.append((doc, p, at // 4, len(part) // 4, zlib.crc32(part)))
+                        rows.append((doc, p, at // 4, len(part) // 4, zlib.crc32(part), salt))
                 a = b
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "salt"],
                 )
 
     return run
@@ -216,16 +242,17 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = scratch.save(docs.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = scratch.save(docs.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"))
     buckets = 4 * shuffle_width(spark)
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    # rows without a doc_id may be alike: they are dealt out by their place too
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(buckets)).cast("int"))
     counted = dealt.groupBy("length", "bucket").agg(F.count("*").alias("c"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counted = scratch.save(counted.select("length", "bucket", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before")))
     # at most one row for each length up to the capacity
     rows = plan({r["length"]: r["c"] for r in counted.groupBy("length").agg(F.sum("c").alias("c")).collect()}, capacity)
     where = spark.createDataFrame(rows, "length long, lo long, hi long, bin long, each long, base long")
-    here = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    here = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "salt")
     ranked = dealt.withColumn("n", F.row_number().over(here)).join(counted.select("length", "bucket", "before"), ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("n") - 1)
     # bounded: at most a few intervals for each length up to the capacity
     placed = ranked.join(F.broadcast(where), (ranked["length"] == where["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))

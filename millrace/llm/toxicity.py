@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .textblocks import U, hash_of, shingles, slices, word_hashes
 
 #: At most so many labelled rows are used for fitting.
@@ -200,13 +201,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model from labelled rows that are not held out.
 
     Labels with a null doc_id or toxic are left out; of several labels of a doc_id the
-    toxic one counts.  Without rows of both classes the seed lexicon decides alone.
+    toxic one counts, of several texts of a doc_id the one of the least hash, so at most
+    ``fit_rows`` rows are gathered.  Without rows of both classes the seed lexicon decides
+    alone.  Where no seed word occurs, the first posteriors come from the labels only.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    # at most fit_rows rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("toxic", "text")
+    # at most fit_rows rows, one for each doc_id
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    rows = Scratch(docs.sparkSession).save(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text"))
     words = list(dict.fromkeys(SEEDS + mine(rows)))
     got = rows.mapInArrow(_vote(words), "toxic int, x binary").toArrow()
     y = got["toxic"].to_numpy()

@@ -144,6 +144,23 @@ def test_nearest(spark):
     assert ann.nearest(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_nearest_repeated_ids(spark):
+    rnd = np.random.default_rng(8)
+    rows = [(i, rnd.normal(size=8).tolist()) for i in range(60)] + [(0, rnd.normal(size=8).tolist()) for _ in range(2)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(v, v.where("vec_id = 0"), k=3).collect():
+        got[r["rank"]].append((r["vec_id"], round(r["score"], 9)))
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = defaultdict(list)
+    for q in (0, 60, 61):
+        best = sorted((-(x[q] @ x[j]), rows[j][0]) for j in range(62) if rows[j][0] != 0)[:3]
+        for rank, (s, id_) in enumerate(best, 1):
+            want[rank].append((id_, round(-s, 9)))
+    assert {k: sorted(a) for k, a in got.items()} == {k: sorted(a) for k, a in want.items()}
+
+
 def test_components(spark):
     rnd = random.Random(4)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(90)] + [(7, 7), (None, 3), (3, None), (1, 0)]

@@ -188,6 +188,39 @@ def test_fingerprint_edits(docs, spark, empty):
     assert fingerprints.fingerprint_edits(odd).count() == 5
 
 
+def test_fingerprint_edits_of_many_odd_ids(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, 7, -3, 10**12, *range(200)]), " ".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(12)))) for _ in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), sha(r[1])))
+    want = Counter()
+    for i, (id_, text) in enumerate(order):
+        k = len(text) // 2
+        want[id_, sha(text[: len(text) - k] + order[(i + 1) % len(order)][1][:k])] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprints.fingerprint_edits(d).collect()) == want
+
+
+def test_near_pairs_finds_near_copies(docs):
+    """At the default bands: of all pairs of different sets with a similarity of 0.8, at least 0.95."""
+    classes, pairs = fingerprints.near_pairs(docs)
+    names = {r["doc_id"]: r["id"] for r in classes.collect()}
+    found = {frozenset((r["a"], r["b"])) for r in pairs.collect()}
+    comp = {x: x for x in names.values()}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a, b in map(tuple, found):
+        comp[find(a)] = find(b)
+    sets = {r[0]: shingles_of(r[1]) for r in docs.collect()}
+    ids = [i for i in names if sets[i]]
+    near = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if names[a] != names[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert near and sum(find(names[a]) == find(names[b]) for a, b in near) >= 0.95 * len(near)
+
+
 def test_near_pairs(docs):
     classes, pairs = fingerprints.near_pairs(docs, bands=64)
     names = defaultdict(set)
@@ -233,6 +266,22 @@ def test_plan_is_gapless_and_tight(seed):
     assert len(bins) <= math.ceil(total / 4096) * 1.25 + 2
 
 
+def test_encode_keeps_few_bytes():
+    path = queries.tokenizer_path()
+    rnd = random.Random(6)
+    t = packing._tokenizer(path)
+    for _ in range(30):
+        packing.encode(["".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(20_000)), "a\x1c" * 5000], path)
+    assert max(map(len, t[2]), default=0) <= packing.CACHED_LENGTH and t[2].used + t[3].used <= packing.CACHE_BYTES
+
+
+def test_pack_null_ids(spark):
+    d = spark.createDataFrame([(None, None)] * 3000 + [(1, "a b")], "doc_id long, text string")
+    rows = packing.pack(d, queries.tokenizer_path(), 16).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in rows}
+    assert len(rows) == len(places) == 3001 and len({p[0] for p in places}) <= 3002 // 16 + 2
+
+
 def test_pack(docs, empty):
     path = queries.tokenizer_path()
     got = packing.pack(docs, path, 256).collect()
@@ -493,6 +542,15 @@ def test_toxicity(spark):
     assert kept.columns == d.columns and kept.count() == sum(r["predicted"] == 0 for r in got.values())
 
 
+def test_toxicity_gathers_a_row_for_each_label(spark):
+    """However often a doc_id repeats, the model sees one text of it."""
+    docs, labels, _ = toxic_rows(300)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    many = toxicity.fit(spark.createDataFrame(docs * 5, "doc_id long, text string"), labels)
+    assert once.words == many.words and np.allclose(once.weights, many.weights, atol=1e-6)
+
+
 def test_toxicity_learns_from_no_held_out_row(spark):
     rows, labels, _ = toxic_rows(600)
     d = spark.createDataFrame(rows, "doc_id long, text string")
