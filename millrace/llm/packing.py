@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, shuffle_width
 
 #: Bytes, about, of the words as they stand and of the stems whose ids a Python worker keeps, and the longest of them.
-CACHE_BYTES, CACHED_LENGTH = 170_000_000, 32
-ENTRY = 230  # two objects and a place in the table
+CACHE_BYTES, CACHED_LENGTH = 150_000_000, 32
+ENTRY = 150  # two small objects and a place in the table
 _tokenizers: dict[str, tuple] = {}
 #: Characters that Python takes for white space and the tokenizer does not.
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -47,14 +47,19 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
-class _Cache(dict):
-    """Ids of words; ``trim`` empties it when it outgrows its share of memory."""
+class _Cache:
+    """Ids of words; ``trim`` empties it when it outgrows its share of memory.
 
-    used = 0
+    ``ids`` is a plain dict: a set is compared with one by looking its own members up.
+    """
+
+    def __init__(self):
+        self.ids: dict[str, bytes] = {}
+        self.used = 0
 
     def trim(self, share: float) -> None:
         if self.used > share * CACHE_BYTES:
-            self.clear()
+            self.ids.clear()
             self.used = 0
 
 
@@ -75,13 +80,13 @@ def _word_ids(word: str, path: str) -> bytes:
     out = []
     for part in (plain[1].lower(), plain[2]):
         if part:
-            ids = stems.get(part)
+            ids = stems.ids.get(part)
             if ids is None:
                 letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
                 found = [t.id for t in model.tokenize(letters)]
                 ids = struct.pack(f"<{len(found)}I", *found)
                 if len(part) <= CACHED_LENGTH:
-                    stems[part] = ids
+                    stems.ids[part] = ids
                     stems.used += ENTRY + len(part) + len(ids)
             out.append(ids)
     return b"".join(out)
@@ -95,9 +100,10 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     own ids for the whole text (tested).  Long words, and texts that can't be cut into
     words here, are not kept.
     """
-    _, _, known, stems = _tokenizer(path)
-    known.trim(0.6)
-    stems.trim(0.4)
+    _, _, cache, stems = _tokenizer(path)
+    cache.trim(0.5)
+    stems.trim(0.5)
+    known = cache.ids
     words = [[t] if any(c in t for c in _ODD) else t.split() for t in texts]
     long: dict[str, bytes] = {}
     used = entries = 0
@@ -109,7 +115,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
             entries += 1
         else:
             long[w] = ids
-    known.used += used + ENTRY * entries
+    cache.used += used + ENTRY * entries
     find = (lambda w: long[w] if len(w) > CACHED_LENGTH else known[w]) if long else known.__getitem__
     return [b"".join(map(find, ws)) for ws in words]
 

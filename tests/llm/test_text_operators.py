@@ -272,7 +272,7 @@ def test_encode_keeps_few_bytes():
     t = packing._tokenizer(path)
     for _ in range(30):
         packing.encode(["".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(20_000)), "a\x1c" * 5000], path)
-    assert max(map(len, t[2]), default=0) <= packing.CACHED_LENGTH and t[2].used + t[3].used <= packing.CACHE_BYTES
+    assert max(map(len, t[2].ids), default=0) <= packing.CACHED_LENGTH and t[2].used + t[3].used <= packing.CACHE_BYTES
 
 
 def test_pack_null_ids(spark):
