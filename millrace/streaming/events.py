@@ -33,11 +33,16 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def maintain(stream: DataFrame, session, table: str, checkpoint: str):
-    """Append each micro-batch to an engine table, whose materialized views follow."""
+    """Append each micro-batch to an engine table, whose materialized views follow.
+
+    Executors write the batch as a part of the table.  The table remembers the last batch of
+    each checkpoint, so a batch that is run again after a failure is not inserted twice.
+    """
+    from ..plans.tokens import tokens
+
+    name = session.resolve(tokens(table))
 
     def each(batch: DataFrame, epoch: int) -> None:
-        rows = batch.sparkSession.createDataFrame(batch.toArrow()) if batch.sparkSession is not session.spark else batch
-        rows.createOrReplaceGlobalTempView("millrace_batch")
-        session.execute(f"INSERT INTO {table} SELECT * FROM global_temp.millrace_batch")
+        session.append(name, batch, mark=(checkpoint, epoch))
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
