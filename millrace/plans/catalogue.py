@@ -43,6 +43,35 @@ SHARED = {
         coalesce(nullif(c_mktsegment, 'BUILDING'), nullif(c_name, ''), 'none') AS seg FROM customer""",
     "cast_family": """SELECT o_orderkey, CAST(o_orderkey AS VARCHAR(20)) AS s, CAST(CAST(o_orderkey AS VARCHAR(20)) AS BIGINT) AS back,
         CAST(round(o_totalprice, 2) AS DECIMAL(14, 2)) AS dec, CAST(o_orderdate AS DATE) AS d, CAST('2020-02-29' AS DATE) AS leap, CAST(1 AS BOOLEAN) AS yes FROM orders""",
+    "cast_to_text": "SELECT o_orderkey, CAST(o_orderdate AS VARCHAR(30)) AS t, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(12)) AS d, CAST(o_orderkey > 5 AS VARCHAR(5)) AS b, CAST(CAST('1996-02-29 12:34:56' AS TIMESTAMP) AS DATE) AS leap FROM orders",
+    "like_special": """SELECT s, s LIKE 'a_b' AS one, s LIKE 'a%b' AS any_, s LIKE 'a.b' AS dot, s LIKE '100!%' ESCAPE '!' AS pct, s LIKE '%[x]%' AS brackets
+        FROM (VALUES ('a' || chr(10) || 'b'), ('a.b'), ('axb'), ('100%'), ('1000'), ('q[x]q'), ('ab'), (CAST(NULL AS VARCHAR(5)))) AS t(s)""",
+    "sort_unicode": """SELECT s, row_number() OVER (ORDER BY s) AS place, char_length(s) AS n, substring(s, 2, 1) AS second FROM (VALUES ('z'), ('é'), ('漢字'), ('かな'), ('Z'), ('😀a'), ('a'), (''), ('ﬁ'), ('𝒜')) AS t(s)""",
+    "sort_derived": "SELECT max(k) AS hi, count(*) AS n FROM (SELECT o_orderkey AS k FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50) t",
+    "current_moment": "SELECT r_regionkey, current_date >= DATE '2024-01-01' AS today, CAST(current_timestamp AS DATE) >= DATE '2024-01-01' AS now FROM region",
+    "agg_avg_decimal": "SELECT o_orderstatus, round(CAST(avg(CAST(round(o_totalprice, 2) AS DECIMAL(14, 2))) AS DOUBLE), 4) AS mean, sum(CAST(round(o_totalprice, 2) AS DECIMAL(14, 2))) AS total FROM orders GROUP BY o_orderstatus",
+    "win_nulls": """SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY nullif(o_orderpriority, '5-LOW') ASC NULLS LAST, o_orderkey) AS up,
+        row_number() OVER (PARTITION BY o_orderstatus ORDER BY nullif(o_orderpriority, '5-LOW') DESC NULLS FIRST, o_orderkey) AS down FROM orders""",
+    "cte_reused": "WITH per AS (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey) SELECT (SELECT count(*) FROM per) AS n, (SELECT max(q) FROM per) AS hi, (SELECT count(*) FROM per WHERE q > (SELECT avg(q) FROM per)) AS above",
+    # shapes of decision-support workloads
+    "ds_multi_fact": """SELECT seg, sum(n_orders) AS n_orders, sum(n_lines) AS n_lines FROM (SELECT c_mktsegment AS seg, count(*) AS n_orders, 0 AS n_lines FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment
+        UNION ALL SELECT c_mktsegment, 0, count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment) t GROUP BY seg""",
+    "ds_year_over_year": """WITH y AS (SELECT c_nationkey AS nation, CAST(extract(YEAR FROM o_orderdate) AS INT) AS yr, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+        SELECT a.nation, a.yr, a.n AS now, b.n AS before, a.n - b.n AS more FROM y a JOIN y b ON a.nation = b.nation AND a.yr = b.yr + 1""",
+    "ds_window_over_aggregate": """SELECT p_brand, p_size, n, rank() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size) AS place, sum(n) OVER (PARTITION BY p_brand) AS of_brand
+        FROM (SELECT p_brand, p_size, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, p_size) t""",
+    "ds_above_average": """WITH t AS (SELECT o_custkey, c_nationkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey, c_nationkey)
+        SELECT o_custkey, n FROM t WHERE n > (SELECT 1.2 * avg(n) FROM t x WHERE x.c_nationkey = t.c_nationkey)""",
+    "ds_pivot_by_case": """SELECT s_nationkey, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey""",
+    "ds_rollup_rank": """SELECT r_name, n_name, n, rank() OVER (PARTITION BY g ORDER BY n DESC, r_name, n_name) AS place FROM (SELECT r_name, n_name, count(*) AS n, grouping(n_name) + grouping(r_name) AS g
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)) t""",
+    "ds_buyers_of_both": """SELECT count(*) AS n FROM (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'
+        EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000) t""",
+    "ds_never_returned": "SELECT p_partkey FROM part WHERE p_size > 25 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 30)",
+    "ds_running_share": """SELECT m, n, sum(n) OVER (ORDER BY m ROWS UNBOUNDED PRECEDING) AS so_far, round(n * 100.0 / sum(n) OVER (), 4) AS pct FROM (SELECT CAST(extract(MONTH FROM o_orderdate) AS INT) AS m, count(*) AS n FROM orders GROUP BY 1) t""",
+    "ds_ratio_of_sums": """SELECT n_name, round(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice ELSE 0 END) / nullif(sum(o_totalprice), 0), 6) AS share FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+        GROUP BY n_name HAVING count(*) > 5""",
     # joins
     "join_inner": "SELECT n.n_name, r.r_name FROM nation n INNER JOIN region r ON n.n_regionkey = r.r_regionkey",
     "join_left": """SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON o.o_custkey = c.c_custkey""",
@@ -131,6 +160,18 @@ SHARED = {
 }
 
 PAIRED = {
+    "agg_grouping_id": (
+        "SELECT o_orderstatus, o_orderpriority, grouping_id(o_orderstatus, o_orderpriority) AS g, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+        "SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus, o_orderpriority) AS g, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    ),
+    "cast_to_int": (
+        "SELECT c_custkey, CAST(c_acctbal AS BIGINT) AS whole, CAST(CAST(round(c_acctbal, 2) AS DECIMAL(12, 2)) AS INT) AS exact, CAST(' 12 ' AS INT) AS trimmed FROM customer",
+        "SELECT c_custkey, CAST(trunc(c_acctbal) AS BIGINT) AS whole, CAST(trunc(CAST(round(c_acctbal, 2) AS DECIMAL(12, 2))) AS INT) AS exact, 12 AS trimmed FROM customer",
+    ),
+    "literals": (
+        "SELECT r_regionkey, hex(X'CAFE') AS b, TRUE AS t, CAST(NULL AS INT) AS nothing, DATE '2024-02-29' AS d, 1.50 AS dec, 1e3 AS dbl, 'it''s' AS s, CAST(7 AS SMALLINT) AS small FROM region",
+        "SELECT r_regionkey, 'CAFE' AS b, TRUE AS t, CAST(NULL AS INT) AS nothing, DATE '2024-02-29' AS d, 1.50 AS dec, CAST(1e3 AS DOUBLE) AS dbl, 'it''s' AS s, CAST(7 AS SMALLINT) AS small FROM region",
+    ),
     "int_division": ("SELECT o_orderkey, o_orderkey DIV 7 AS d, CAST(-o_orderkey DIV 7 AS BIGINT) AS nd FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS d, CAST((-o_orderkey) // 7 AS BIGINT) AS nd FROM orders"),
     "fn_extract": (
         """SELECT o_orderkey, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(extract(QUARTER FROM o_orderdate) AS BIGINT) AS q, CAST(extract(MONTH FROM o_orderdate) AS BIGINT) AS m,
