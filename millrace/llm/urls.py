@@ -1,12 +1,18 @@
 """URL filters: domain rules, else naive Bayes over segmented host and path tokens.
 
 Rules fit a host, its subdomains and a path prefix; the longest wins.  Where no rule
-fits, the names of the host and the parts of the path are split into words (unigram
-Viterbi for names written together), and a multinomial naive Bayes model scores them.
-
-The unigram counts come from all pages' text: substrings of the table's distinct
-host names are joined with the word counts, so each name carries its own small
-table of candidate words and nothing that grows with the corpus is broadcast.
+fits, the names of the host are split into words (unigram Viterbi for names written
+together), and a multinomial naive Bayes model scores these and the words of the path.
+
+The model learns from the pages themselves: urls that a rule decides are its examples,
+all but those held out; two lists of words, which together count as much as the examples
+do, serve as a prior.  The words that the rules are written in are left out: the rules
+decide on them, and learning them would only spread the rules to urls they don't fit.
+Its counts are kept as a table of words and joined with the words of distinct urls (host and path words), so
+pages are not moved and nothing that grows with the corpus is broadcast unless its
+size, which is counted, allows it.  The unigram counts come from all pages' text:
+substrings of the distinct host names are joined with them, so each name carries its
+own small table of candidate words.
 """
 
 from __future__ import annotations
@@ -15,6 +21,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,9 +34,15 @@ from .scratch import Scratch
 #: (verdict, host, path prefix)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 LONGEST_WORD = 20
-#: Words of names to learn the verdicts from; a parameter of ``fit``.
+#: Larger tables are not broadcast.
+BROADCAST_BYTES = 32_000_000
+#: A word of the lists counts as so many examples at least; every word of the model as so many of either kind.
+SEED_WEIGHT, SMOOTHING = 5, 1.0
+#: Urls whose crc32 has this remainder by HOLD are not learned from.
+HOLD, HELD_OUT = 5, 0
+#: Words known beforehand, of urls to block and to allow; parameters of ``judge``.
 BLOCKED_EXAMPLES = (
-    "cheap pills cheap viagra discount pharmacy pills online casino bonus casino jackpot slots poker bet betting gambling "
+    "cheap pills cheap viagra discount pharmacy pills online casino casinos bonus casino jackpot slots poker bet bets betting gambling "
     "spam farm spam link farm linkfarm click bait clickbait free money easy cash payday loan loans crypto double profit win prize winner lottery "
     "porn xxx adult sex cams escort nude hot dating singles torrent crack keygen warez malware phishing scam fake replica watches weight loss miracle cure"
 )
@@ -82,26 +96,7 @@ def names_of(host: str) -> list[str]:
 
 
 def path_tokens(path: str) -> list[str]:
-    return [t for t in re.findall(r"[^\W\d_]+", path.lower())]
-
-
-class NaiveBayes:
-    """Multinomial naive Bayes with additive smoothing; words of neither class say nothing."""
-
-    def __init__(self, blocked: Sequence[str], allowed: Sequence[str], prior: float, smoothing: float = 0.1):
-        counts = Counter(blocked), Counter(allowed)
-        vocabulary = set(blocked) | set(allowed)
-        sums = [sum(c.values()) + smoothing * len(vocabulary) for c in counts]
-        self.weights = {w: math.log((counts[0][w] + smoothing) / sums[0]) - math.log((counts[1][w] + smoothing) / sums[1]) for w in vocabulary}
-        self.prior = math.log(prior / (1 - prior))
-
-    def score(self, words: Sequence[str]) -> float:
-        """Log odds of blocked."""
-        return self.prior + sum(self.weights.get(w, 0.0) for w in words)
-
-
-def fit(blocked: str = BLOCKED_EXAMPLES, allowed: str = ALLOWED_EXAMPLES, prior: float = PRIOR_BLOCKED) -> NaiveBayes:
-    return NaiveBayes(path_tokens(blocked), path_tokens(allowed), prior)
+    return re.findall(r"[^\W\d_]+", path.lower())
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
@@ -111,45 +106,85 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return words.where((F.length("word") > 0) & (F.length("word") <= LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for host in batch.column("host").to_pylist():
-            found = {n[i:j] for n in names_of(host) for i in range(len(n)) for j in range(i + 1, min(len(n), i + LONGEST_WORD) + 1)}
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(found)), pa.array(list(found))], ["host", "word"])
+def _split_names(host: str, known) -> list[tuple[str, bool]]:
+    """Names of a host, and whether they are to be segmented: not the last label, nor a known word."""
+    names, label = names_of(host), host.rpartition(".")[2]
+    last = len(names_of(label)) if "." in host else 0
+    return [(n, i < len(names) - last and n not in known) for i, n in enumerate(names)]
+
 
+def _substrings(known):
+    """Candidate words, of two letters at least, of each host's names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hosts, words = [], []
+        for batch in batches:
+            for host in batch.column("host").to_pylist():
+                found = {n[i:j] for n, cut in _split_names(host, known) if cut for i in range(len(n)) for j in range(i + 2, min(len(n), i + LONGEST_WORD) + 1)}
+                hosts += [host] * len(found)
+                words += found
+                if len(words) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(words, pa.string())], ["host", "word"])
+                    hosts, words = [], []
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(words, pa.string())], ["host", "word"])
 
-def _host_scores(model: NaiveBayes, seeds: dict[str, int], total: int):
+    return run
+
+
+def _segments(known, total: int):
     def run(batches):
         for batch in batches:
-            hosts, words, scores = [], [], []
+            hosts, words = [], []
             for host, found in zip(batch.column("host").to_pylist(), batch.column("found").to_pylist()):
-                counts = Counter(seeds)
-                for x in found or []:
-                    if x and x["word"] is not None:
-                        counts[x["word"]] += x["n"]
-                split = [w for n in names_of(host) for w in ([n] if n in seeds else segment(n, counts, total))]
+                counts = {x["word"]: x["n"] for x in found or [] if x and x["word"] is not None}
+                for w in known:
+                    counts[w] = counts.get(w, 0) + 50
                 hosts.append(host)
-                words.append(" ".join(split))
-                scores.append(model.score(split))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(words, pa.string()), pa.array(scores, pa.float64())], ["host", "words", "host_score"])
+                words.append(" ".join(w for n, cut in _split_names(host, known) for w in (segment(n, counts, total) if cut else [n])))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(words, pa.string())], ["host", "words"])
 
     return run
 
 
-def segment_hosts(pages: DataFrame, model: NaiveBayes) -> DataFrame:
-    """(host, words, host_score) for each distinct host of ``pages``."""
+def segment_hosts(pages: DataFrame, known: frozenset[str]) -> DataFrame:
+    """(host, words) for each distinct host of ``pages`` (url, html): its names, in order, as words.
+
+    ``known`` words are words whatever the texts say.  Null urls have the host ''; repeated
+    rows are one host; an empty table gives an empty one.
+    """
     hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
     counts = Scratch(pages.sparkSession).save(word_counts(pages))
-    candidates = hosts.mapInArrow(_substrings, "host string, word string")
-    found = candidates.join(counts, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("found"))
-    # the words of the examples are known words
-    seeds = {w: 50 for w in model.weights}
+    found = hosts.mapInArrow(_substrings(known), "host string, word string").join(counts, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("found"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return hosts.join(found, "host", "left").mapInArrow(_host_scores(model, seeds, total + sum(seeds.values())), "host string, words string, host_score double")
+    return hosts.join(found, "host", "left").mapInArrow(_segments(known, total + 50 * len(known)), "host string, words string")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, model: NaiveBayes | None = None) -> DataFrame:
+def _fits(table: DataFrame, *columns: str) -> DataFrame:
+    """A written table, marked for broadcast if its bytes, which are counted, allow it."""
+    size = table.agg(F.sum(reduce(add, [F.octet_length(c) for c in columns], F.lit(64)))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
+def word_weights(examples: DataFrame, blocked: Counter, allowed: Counter) -> DataFrame:
+    """(token, weight): log of how much likelier each token is in a blocked url than in an allowed one.
+
+    ``examples``: (tokens, nb, na), token lists with their numbers of blocked and allowed urls.
+    ``blocked`` and ``allowed`` are prior counts, raised to the number of the examples' tokens.  Tokens of neither are left out: they say nothing.
+    """
+    spark = examples.sparkSession
+    scratch = Scratch(spark)
+    seen = scratch.save(examples.where("nb + na > 0").select(F.explode("tokens").alias("token"), "nb", "na").groupBy("token").agg(F.sum("nb").alias("nb"), F.sum("na").alias("na")))
+    total = seen.agg(F.sum(F.col("nb") + F.col("na"))).first()[0] or 0
+    times = max(SEED_WEIGHT, -(-total // max(1, blocked.total() + allowed.total())))
+    prior = spark.createDataFrame([(w, times * blocked[w], times * allowed[w]) for w in sorted({*blocked, *allowed})], "token string, nb long, na long")
+    counts = scratch.save(seen.unionByName(prior).groupBy("token").agg(F.sum("nb").alias("nb"), F.sum("na").alias("na")))
+    b, a, v = counts.agg(F.sum("nb"), F.sum("na"), F.count("*")).first()
+    of = lambda c, total: F.log((F.col(c) + SMOOTHING) / float((total or 0) + SMOOTHING * max(v, 1)))
+    return counts.select("token", (of("nb", b) - of("na", a)).alias("weight"))
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, blocked: str = BLOCKED_EXAMPLES, allowed: str = ALLOWED_EXAMPLES, prior: float = PRIOR_BLOCKED) -> DataFrame:
     """(page_id, host, path, rule, verdict, words, score): one row for each row of ``pages``.
 
     Null urls and urls without ``://`` have an empty host and path, fit no rule and are
@@ -157,15 +192,21 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, model
     a rule decides.  Further columns are ignored, repeated rows stay, an empty table
     gives an empty one.
     """
-    model = model or fit()
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    scratch = Scratch(pages.sparkSession)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), (F.crc32(F.coalesce("url", F.lit(""))) % HOLD != HELD_OUT).alias("learn"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "by_rule": verdict})
-    # tokens of the path by a literal table of the model's words: bounded by the examples
-    table = F.create_map(*[x for w, v in sorted(model.weights.items()) for x in (F.lit(w), F.lit(v))])
-    tokens = F.regexp_extract_all(F.lower("path"), F.lit(r"[\p{L}]+"), F.lit(0))
-    path_score = F.aggregate(tokens, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(table, t), F.lit(0.0)))
-    rows = rows.withColumn("path_score", path_score)
-    out = rows.join(segment_hosts(pages, model), "host")
-    score = F.col("host_score") + F.col("path_score")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(score > 0, "block").otherwise("allow")).alias("verdict"), "words", score.alias("score"))
+    path_words = F.array_join(F.regexp_extract_all(F.lower("path"), F.lit(r"[\p{L}]+"), F.lit(0)), " ")
+    rows = rows.withColumns({"rule": rule, "by_rule": verdict, "path_words": path_words})
+    own = {w for _, h, p in rules for w in (*path_tokens(h), *path_tokens(p))}
+    seeds = tuple(Counter(w for w in path_tokens(words) if w not in own) for words in (blocked, allowed))
+    hosts = segment_hosts(pages, frozenset({*seeds[0], *seeds[1]}))
+    times = lambda v: F.count_if(F.col("learn") & F.coalesce(F.col("by_rule") == v, F.lit(False)))
+    kinds = rows.groupBy("host", "path_words").agg(times("block").alias("nb"), times("allow").alias("na"))
+    tokens = F.filter(F.split(F.concat_ws(" ", "words", "path_words"), " "), lambda w: (w != "") & ~w.isin(sorted(own)))
+    kinds = scratch.save(kinds.join(hosts, "host").withColumn("tokens", tokens))
+    weights = scratch.save(word_weights(kinds, *seeds))
+    sums = kinds.select("host", "path_words", F.explode("tokens").alias("token")).join(_fits(weights, "token"), "token").groupBy("host", "path_words").agg(F.sum("weight").alias("sum"))
+    score = F.coalesce("sum", F.lit(0.0)) + math.log(prior / (1 - prior))
+    scored = scratch.save(kinds.join(sums, ["host", "path_words"], "left").select("host", "path_words", "words", score.alias("score")))
+    out = rows.join(_fits(scored, "host", "path_words", "words"), ["host", "path_words"])
+    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "words", "score")

@@ -1,9 +1,11 @@
 """Pages, URLs, vectors, components and the pipeline."""
 
+import math
 import os
 import random
 import time
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -100,6 +102,40 @@ def test_url_rules(spark):
     assert urls.judge(d.limit(0)).count() == 0
 
 
+def test_urls_learn_from_rules(spark):
+    """What the rules block elsewhere is blocked; urls that are held out are judged as the rules say."""
+    rnd = np.random.default_rng(2)
+    names = ["meadow", "river", "stone", "cloud"]
+    rows = []
+    for i in range(600):
+        bad = i % 3 == 0
+        host = f"{names[rnd.integers(4)]}{names[rnd.integers(4)]}.{'com' if bad else 'net'}"
+        rows.append((i, f"http://{host}/{'en' if bad else 'de'}/{'zorgle' if bad else 'tulip'}{i}", "<p>meadow river stone cloud</p>"))
+    rows += [(9001, "http://x.xyz/zorgle/5", ""), (9002, "http://x.xyz/tulip/5", "")]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9001]["verdict"] == "block" and got[9002]["verdict"] == "allow" and got[9001]["rule"] is None
+    held = [i for i, u, _ in rows[:600] if zlib.crc32(u.encode()) % urls.HOLD == urls.HELD_OUT]
+    assert len(held) > 50 and all((got[i]["score"] > 0) == (got[i]["verdict"] == "block") for i in held)
+    assert {len(got[i]["words"].split()) for i in range(600)} == {3}
+
+
+def test_url_weights_by_brute_force(spark):
+    rows = [(["a", "b"], 3, 0), (["b", "c"], 0, 2), (["d"], 0, 0)]
+    got = {r["token"]: r["weight"] for r in urls.word_weights(spark.createDataFrame(rows, "tokens array<string>, nb long, na long"), Counter({"b": 1}), Counter({"c": 2})).collect()}
+    w, s = urls.SEED_WEIGHT, urls.SMOOTHING
+    block, allow = {"a": 3, "b": 3 + w, "c": 0}, {"a": 0, "b": 2, "c": 2 + 2 * w}
+    want = {t: math.log((block[t] + s) / (sum(block.values()) + 3 * s)) - math.log((allow[t] + s) / (sum(allow.values()) + 3 * s)) for t in "abc"}
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+
+
+def test_urls_without_broadcast(spark, monkeypatch):
+    rows = [(i, f"http://spam{i % 3}.org/fr/x{i}", "<p>spam</p>") for i in range(20)] + [(5, None, None), (None, "http:///", "")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((str(r) for r in urls.judge(d).select("page_id", "host", "path", "rule", "verdict", "words").collect()))
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", 0)
+    assert sorted((str(r) for r in urls.judge(d).select("page_id", "host", "path", "rule", "verdict", "words").collect())) == want and len(want) == 22
+
+
 def test_segment():
     counts = {"spam": 5, "farm": 5, "the": 100, "a": 50}
     assert urls.segment("thespamfarm", counts, 200) == ["the", "spam", "farm"]
