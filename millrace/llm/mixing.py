@@ -155,21 +155,26 @@ def deal(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     return dealt.select(left.columns).unionByName(left).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-MIX_SQL = r"""
+_MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS o,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
 w AS (SELECT *, CASE k % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w, 2 * source_size AS cap, 1.5 * sum(source_size) OVER () AS budget FROM s),
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-f AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, cap / w) FROM l WHERE level * w <= cap) * w, cap)) AS target FROM l),
-c AS (SELECT d.doc_id, d.size, f.source_size, f.target,
+f AS (SELECT source, source_size, k, count(*) OVER () AS sources, least(cap, coalesce((SELECT arg_min(level, cap / w) FROM l WHERE level * w <= cap) * w, cap)) AS target FROM l),
+c AS (SELECT d.doc_id, d.size, f.source_size, f.target, f.k, f.sources,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead,
     CASE WHEN f.source_size > 0 THEN floor(f.target / f.source_size + 1e-12) ELSE 0 END AS r
     FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
-SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 3) AS target,
-    CAST(r * size + greatest(0, least(size, round(target - r * source_size) - ahead)) AS BIGINT) AS taken FROM c
 """
+_TAKEN_SQL = "CAST(r * size + greatest(0, least(size, round(target - r * source_size) - ahead)) AS BIGINT)"
+MIX_SQL = f"{_MIX_SQL}SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 3) AS target, {_TAKEN_SQL} AS taken FROM c"
+#: With the training position of the first copy, at the default drift.
+DEAL_SQL = f"""{_MIX_SQL}, t AS (SELECT *, {_TAKEN_SQL} AS taken, CASE WHEN sources > 1 THEN 0.5::DOUBLE * (1 - 2 * k::DOUBLE / (sources - 1)) ELSE 0 END AS s FROM c),
+p AS (SELECT *, CASE WHEN taken > 0 THEN ahead::DOUBLE / target END AS done FROM t)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 3) AS target, taken,
+    CASE WHEN taken > 0 THEN round(least(1, greatest(0, CASE WHEN abs(s) < 1e-9 THEN done ELSE ((1 + s) - sqrt(greatest(0, (1 + s) * (1 + s) - 4 * s * done))) / (2 * s) END)), 6) END AS position FROM p"""
 
 
 def first_words(text: Column, n: Column) -> Column:

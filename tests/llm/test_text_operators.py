@@ -325,6 +325,14 @@ def test_mixing_equals_sql(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_dealt_positions_equal_sql(docs):
+    got = sorted(tuple(r) for r in mixing.deal(docs).selectExpr("doc_id", "size", "source_size", "round(target, 3)", "taken", "round(position, 6)").collect())
+    want = view(docs).sql(mixing.DEAL_SQL + " ORDER BY doc_id").fetchall()
+    assert len(got) == len(want) and any(r[5] for r in got)
+    for a, b in zip(got, want):
+        assert a[:5] == tuple(b)[:5] and (a[5] is None) == (b[5] is None) and abs((a[5] or 0) - (b[5] or 0)) < 2e-6
+
+
 def test_positions_follow_the_curriculum(docs):
     copies = mixing.positions(mixing.mix(docs)).collect()
     assert all(0 <= r["position"] <= 1 for r in copies)
