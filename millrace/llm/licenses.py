@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 THRESHOLD = 0.8
-#: Notices by SPDX identifier.
+#: Notices by SPDX identifier (fixed values).
 TEMPLATES = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -53,9 +53,24 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    # phrases of licence texts and of the headers that licences ask for
+    ("AGPL-3.0", "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("Apache-2.0", "use this file except in compliance with the License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "made available under the terms of the Eclipse Public License 2.0"),
+    ("GPL-2.0", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-3.0", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-2.1", "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("MPL-2.0", "subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty."),
 )
 #: Words that tell little; any words may stand here, only the cost depends on them.
-FREQUENT = frozenset("a all and author be by extent for from general has in into is law may no not of on part possible public terms that the this to under version with without work".split())
+FREQUENT = frozenset(
+    "a all and any are as author available be by code copy either except extent file for form free from general has in into is it law made may no not of on part person "
+    "possible provided public source subject terms that the this to under use version with without work you".split()
+)
 _DROP = r"[^\p{L}\p{N}\n]+"
 
 
@@ -116,16 +131,21 @@ def _windows(docs: DataFrame, met: DataFrame, found, telling, threshold: float)
     found = [(name, b) for _, name, b in found]
     known = [(g, name, len(b), min(allowed_sizes(len(b), threshold)), max(allowed_sizes(len(b), threshold)), b) for (name, b), held in zip(found, telling) for g in held]
     table = docs.sparkSession.createDataFrame(known, "anchor string, license string, size int, low int, high int, want array<string>")
-    reach = max((r[4] for r in known), default=1)
+    # the longest window of the templates that an anchor speaks for
+    longest: dict[str, int] = {}
+    for r in known:
+        longest[r[0]] = max(longest.get(r[0], 1), r[4])
+    reaches = F.create_map(*[F.lit(v) for pair in sorted(longest.items()) for v in pair])
+    reach = lambda x: F.element_at(reaches, x["anchor"])
     lines = F.transform(F.split(F.regexp_replace(F.lower(F.col("text")), _DROP, " "), "\n"), lambda t: F.filter(F.split(t, " "), lambda w: w != ""))
     # words must be an array of its own: a field of an array of structs would be cut out again for every word
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), lines.alias("by_line"))
     rows = rows.select("doc_id", "key", F.flatten("by_line").alias("words"), F.flatten(F.transform("by_line", lambda ws, i: F.array_repeat(i, F.size(ws)))).alias("lines"))
     rows = rows.withColumn("grams", _pairs(F.col("words")))
-    places = F.filter(F.transform("grams", lambda g, i: F.struct(g.alias("anchor"), (i + 1).alias("at"))), lambda x: x["anchor"].isin(sorted({r[0] for r in known})))
+    places = F.filter(F.transform("grams", lambda g, i: F.struct(g.alias("anchor"), (i + 1).alias("at"))), lambda x: x["anchor"].isin(sorted(longest)))
     # what stands around an anchor is cut out before the rows are multiplied
-    start = lambda x: F.greatest(F.lit(1), x["at"] - (reach - 1))
-    about = F.transform(places, lambda x: F.struct(x["anchor"].alias("anchor"), x["at"].alias("at"), start(x).alias("start"), F.slice("grams", start(x), x["at"] - start(x) + reach).alias("near"), F.slice("lines", start(x), x["at"] - start(x) + reach + 1).alias("lines")))
+    start = lambda x: F.greatest(F.lit(1), x["at"] - (reach(x) - 1))
+    about = F.transform(places, lambda x: F.struct(x["anchor"].alias("anchor"), x["at"].alias("at"), start(x).alias("start"), F.slice("grams", start(x), x["at"] - start(x) + reach(x)).alias("near"), F.slice("lines", start(x), x["at"] - start(x) + reach(x) + 1).alias("lines")))
     rows = rows.select("doc_id", "key", F.explode(about).alias("a")).select("doc_id", "key", "a.*").withColumn("line", F.element_at("lines", F.col("at") - F.col("start") + 1))
     lone = met.where("not whole").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("line").alias("_l")).distinct()
     rows = rows.join(lone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")) & (F.col("line") == F.col("_l")), "left_anti").drop("line")
@@ -211,6 +231,7 @@ def rows_of(found, threshold):
 
 
 def scan_sql(templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
+    sizes = [n for (n,) in rows_of([(i, name, bigrams(text)) for i, (name, text) in enumerate(templates)], threshold)]
     quoted = ", ".join("({}, '{}', {})".format(i, name, "[" + ", ".join(f"'{x}'" for x in bigrams(text)) + "]") for i, (name, text) in enumerate(templates))
     return rf"""
 WITH p AS (SELECT * FROM (VALUES {quoted}) AS p(template, license, want)),
@@ -219,7 +240,7 @@ l AS (SELECT doc_id, string_split(t, chr(10)) AS ls, t FROM x),
 m AS (SELECT doc_id, CASE WHEN len(ls) > 1 THEN list_append(ls, replace(t, chr(10), ' ')) ELSE ls END AS ls FROM l),
 u AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS s FROM m),
 w AS (SELECT doc_id, line, list_filter(string_split(s, ' '), lambda x: x <> '') AS words FROM u),
-b AS (SELECT doc_id, line, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS have FROM w WHERE len(words) BETWEEN 2 AND 200),
+b AS (SELECT doc_id, line, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS have FROM w WHERE len(words) - 1 BETWEEN {min(sizes)} AND {max(sizes)}),
 j AS (SELECT doc_id, line, license, 2.0 * list_sum(list_transform(list_distinct(want), lambda y: least(len(list_filter(have, lambda x: x = y)), len(list_filter(want, lambda x: x = y)))))
     / (len(have) + len(want)) AS dice FROM b JOIN p ON len(have) * {threshold} <= len(want) * (2 - {threshold}) + 1e-9 AND len(want) * {threshold} <= len(have) * (2 - {threshold}) + 1e-9),
 g AS (SELECT doc_id, max(dice) AS dice, arg_min(license, (-dice, license)) AS license, count(DISTINCT line) AS n_matches FROM j WHERE dice >= {threshold} GROUP BY doc_id)
