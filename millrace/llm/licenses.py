@@ -69,7 +69,7 @@ TEMPLATES = (
 #: Words that tell little; any words may stand here, only the cost depends on them.
 FREQUENT = frozenset(
     "a all and any are as author available be by code copy either except extent file for form free from general has in into is it law made may no not of on part person "
-    "possible provided public source subject terms that the this to under use version with without work you".split()
+    "possible provided public source terms that the this to under use version with without work you".split()
 )
 _DROP = r"[^\p{L}\p{N}\n]+"
 
