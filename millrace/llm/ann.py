@@ -1,12 +1,14 @@
 """Approximate nearest neighbours on robust-pruned directed graphs.
 
-Vectors are dealt by a hash of their id into shards of bounded size.  Each shard
+Vectors are dealt by a hash of their row into shards of bounded size.  Each shard
 builds one graph: greedy searches from the medoid propose each vector's neighbours,
 and relaxed distance pruning (a candidate goes if a chosen neighbour is ``alpha``
 times nearer to it than the vector is) keeps edges that point into different
-directions; back edges are pruned alike.  Queries go in blocks to every shard, where a
-beam search finds their nearest, scored in double precision on the original vectors;
-the best of all shards are merged.
+directions; back edges are pruned alike.  Shards lie in groups.  A task builds the
+graphs of its group and keeps them while the queries stream by, so a vector moves
+once and a query once for each group, whatever the number of shards.  In every shard a
+beam search finds a query's nearest, scored in double precision on the original
+vectors; the best of a group's shards are merged there, those of the groups in Spark.
 
 Searches move in step: numpy expands one node of every query at a time.
 """
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, shuffle_width
 
-#: Vectors of a shard, at most about; queries of a block.
-SHARD, QUERY_BLOCK = 6000, 2048
+#: Vectors of a shard, at most about; bytes of the vectors of a group, at most about unless one shard has more.
+SHARD, GROUP_BYTES = 6000, 96_000_000
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
 
 
@@ -152,77 +154,138 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _build(k: int, degree: int, beam: int, alpha: float):
-    """Per shard one row: ids (of each distinct vector, the k + 1 least), vectors and edges."""
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """The place of each row among neighbours that are alike in all keys."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(new)
+    return np.arange(len(new)) - np.repeat(at, np.diff(np.append(at, len(new))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: dict[int, list] = {}
-        for batch in batches:
-            s = batch.column("shard").to_numpy()
-            for name in np.unique(s):
-                part = batch.filter(pa.array(s == name))
-                shards.setdefault(int(name), []).append((part.column("vec_id").to_numpy(), _matrix(part.column("embedding"))))
-        for name in sorted(shards):
-            ids, x = (np.concatenate(c) for c in zip(*shards.pop(name)))
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], np.ascontiguousarray(x[order].astype(np.float64) + 0.0)
-            _, first, inverse = np.unique(x.view(f"V{x.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
-            by = np.argsort(inverse, kind="stable")
-            place = np.arange(len(by)) - np.searchsorted(inverse[by], inverse[by])
-            least = np.full((len(first), k + 1), -1, np.int64)
-            ok = place <= k
-            least[inverse[by][ok], place[ok]] = ids[by][ok]
-            x = x[first]
-            unit = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
-            edges = Graph(unit, degree, beam, alpha).edges
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name], pa.int64()), pa.array([len(x)], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (least, x, edges))],
-                ["shard", "n", "ids", "x", "edges"],
-            )
 
-    return run
+def _fold(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct vectors; of each row that counts its id and its vector's number, by number and id.
+
+    Of each vector the 2 * k least ids count, none more than k times: without any one id, the k least are among them.
+    """
+    x = np.ascontiguousarray(x + x.dtype.type(0))
+    _, first, inverse = np.unique(x.view(f"V{x.shape[1] * x.itemsize}").ravel(), return_index=True, return_inverse=True)
+    by = np.lexsort((ids, inverse))
+    ids, node = ids[by], inverse[by]
+    some = _runs(node, ids) < k
+    ids, node = ids[some], node[some]
+    some = _runs(node) < 2 * k
+    return x[first], ids[some], node[some]
+
+
+class _Shard:
+    """Rows as they come, then the graph of their distinct vectors."""
+
+    def __init__(self, k: int):
+        self.k, self.rows, self.new, self.kept = k, [], 0, 0
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        self.rows.append((ids, x))
+        self.new += len(ids)
+        if self.new > max(20_000, self.kept):  # copies don't pile up
+            x, ids, node = self._folded()
+            self.rows, self.new, self.kept = [(ids, x[node])], 0, len(ids)
+
+    def _folded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _fold(*(np.concatenate(c) for c in zip(*self.rows)), self.k)
+
+    def build(self, degree: int, beam: int, alpha: float) -> None:
+        self.x, ids, node = self._folded()
+        self.rows = []
+        self.least = np.full((len(self.x), 2 * self.k), -1, np.int64)
+        self.fill = np.bincount(node, minlength=len(self.x))
+        self.least[node, _runs(node)] = ids
+        wide = self.x.astype(np.float64)
+        self.norms = np.sqrt(np.einsum("ij,ij->i", wide, wide))
+        self.graph = Graph((wide / self.norms[:, None]).astype(np.float32), degree, beam, alpha)
 
+    def nearest(self, own: np.ndarray, q: np.ndarray, unit: np.ndarray, beam: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each query its number, the k nearest ids found and their cosines."""
+        k, norms = self.k, np.sqrt(np.einsum("ij,ij->i", q, q))
+        found, _ = self.graph.search(unit, min(beam, len(self.x)))
+        for j, f in enumerate(found[:, : 4 * k]):
+            f = f[f >= 0]
+            s = np.einsum("ij,ij->i", self.x[f].astype(np.float64), np.broadcast_to(q[j], (len(f), q.shape[1]))) / (self.norms[f] * norms[j])
+            ids, sc = self.least[f].ravel(), np.repeat(s, 2 * k)
+            ok = (np.arange(2 * k) < self.fill[f][:, None]).ravel() & (ids != own[j])
+            ids, sc = ids[ok], sc[ok]
+            top = np.lexsort((ids, -sc))[:k]
+            yield j, ids[top], sc[top]
+
+
+def _serve(k: int, degree: int, beam: int, alpha: float):
+    """Rows come by group, vectors (copy 0) by shard, then queries: of each query the k nearest that its group has."""
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+
+    def answer(shards: list[_Shard], own: np.ndarray, copies: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        unit = (q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]).astype(np.float32)
+        best: list[list] = [[] for _ in own]
+        for s in shards:
+            for j, ids, sc in s.nearest(own, q, unit, beam):
+                best[j].append((ids, sc))
+        out = []
+        for j, parts in enumerate(best):
+            ids, sc = (np.concatenate(c) for c in zip(*parts))
+            top = np.lexsort((ids, -sc))[:k]
+            out.append((np.full(len(top), own[j]), np.full(len(top), copies[j]), ids[top], sc[top]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), types)], ["query_id", "copy", "vec_id", "score"])
 
-def _search(k: int, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, name, shards = None, None, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = {c: batch.column(c)[i] for c in ("n", "ids", "x", "edges", "q_ids", "q_copies", "q")}
-                n = r["n"].as_py()
-                least = np.frombuffer(r["ids"].as_buffer(), np.int64).reshape(n, k + 1)
-                x = np.frombuffer(r["x"].as_buffer(), np.float64).reshape(n, -1)
-                edges = np.frombuffer(r["edges"].as_buffer(), np.int32).reshape(n, -1)
-                q_ids = np.array(r["q_ids"].as_py(), np.int64)
-                copies = r["q_copies"].as_py()
-                q = np.array(r["q"].as_py(), np.float64).reshape(len(q_ids), -1)
-                norms, q_norms = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", q, q))
-                g = Graph.__new__(Graph)
-                g.x, g.edges = (x / norms[:, None]).astype(np.float32), edges
-                g.start = int(np.argmax(g.x @ g.x.mean(0)))
-                unit = (q / q_norms[:, None]).astype(np.float32)
-                rows = []
-                for a in range(0, len(q), 256):
-                    found, _ = g.search(unit[a : a + 256], min(beam, max(n, 1)))
-                    found = found[:, : 4 * k]
-                    for j, f in enumerate(found):
-                        f = f[f >= 0]
-                        s = np.einsum("ij,ij->i", x[f], np.broadcast_to(q[a + j], (len(f), q.shape[1]))) / (norms[f] * q_norms[a + j])
-                        ids, sc = least[f].ravel(), np.repeat(s, k + 1)
-                        ok = (ids >= 0) & (ids != q_ids[a + j])
-                        ids, sc = ids[ok], sc[ok]
-                        top = np.lexsort((ids, -sc))[:k]
-                        rows += [(int(q_ids[a + j]), copies[a + j], int(v), float(c)) for v, c in zip(ids[top], sc[top])]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "copy", "vec_id", "score"])
+            keys = [batch.column(c).to_numpy() for c in ("grp", "shard")]
+            ends = [*np.flatnonzero(_runs(*keys) == 0)[1:], batch.num_rows] if batch.num_rows else []
+            for a, b in zip([0, *ends], ends):
+                part = batch.slice(a, b - a)
+                g, shard = int(keys[0][a]), int(keys[1][a])
+                ids, x = part.column("vec_id").to_numpy(), _matrix(part.column("embedding"))
+                if g != group:
+                    group, name, shards = g, None, []
+                if shard != name:
+                    if shards and name != QUERIES:
+                        shards[-1].build(degree, beam, alpha)
+                    name = shard
+                    if shard != QUERIES:
+                        shards.append(_Shard(k))
+                if shard != QUERIES:
+                    shards[-1].add(ids, x)
+                    continue
+                copies = part.column("copy").to_numpy()
+                for i in range(0, len(ids) if shards else 0, 256):
+                    yield answer(shards, ids[i : i + 256], copies[i : i + 256], x[i : i + 256].astype(np.float64))
 
     return run
 
 
+#: What stands for the shard of a group's queries, after all shards.
+QUERIES = 2**31 - 1
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding): vectors that are neither null, empty nor zero and have only finite components; null ids go."""
+    """(vec_id, embedding): vectors that are neither null, empty nor zero and have only finite components; null ids go.  Floats stay floats, others are doubles."""
     e = F.col("embedding").cast("array<double>")
     fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
+    kept = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else e
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), kept.alias("embedding"))
+
+
+def _sizes(vectors: DataFrame) -> dict[int, int]:
+    """How many vectors have each length."""
+    return {r["d"]: r["c"] for r in vectors.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("c")).collect()}
+
+
+def groups(count: int, asked: int, length: int, shard: int) -> tuple[int, int]:
+    """Shards, and the groups they lie in, for so many vectors and queries of a length.
+
+    Each group gets every query: beyond 4, there are no more groups than make the queries
+    as many rows as the vectors, unless memory asks for more.
+    """
+    shards = -(-count // shard)
+    return shards, min(shards, max(-(-4 * count * length // GROUP_BYTES), count // max(asked, 1), 4))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
@@ -237,27 +300,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHA
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    vectors = usable(vectors)
-    sizes = {r["d"]: r["c"] for r in vectors.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("c")).collect()}
-    many = {d: -(-c // shard) for d, c in sizes.items()}
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not many:
-        return spark.createDataFrame([], schema)
-    counts = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+    vectors, asked = usable(vectors), usable(queries)
+    if vectors.schema["embedding"].dataType != asked.schema["embedding"].dataType:
+        vectors, asked = (t.withColumn("embedding", F.col("embedding").cast("array<double>")) for t in (vectors, asked))
+    have, want = _sizes(vectors), _sizes(asked)
+    dealt = {d: groups(have[d], want[d], d, shard) for d in have if d in want}
+    if not dealt:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size = F.size("embedding")
-    width = 1_000_000_000
-    placed = vectors.withColumn("shard", size.cast("long") * width + F.pmod(F.xxhash64("vec_id"), F.element_at(counts, size).cast("long")))
-    index = scratch.save(placed.repartition(max(sum(many.values()), 1), "shard").mapInArrow(_build(k, degree, beam, alpha), "shard long, n int, ids binary, x binary, edges binary"))
-    asked = usable(queries)
-    total = asked.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
+    shards, parts = (F.element_at(F.create_map(*[F.lit(x) for d, n in dealt.items() for x in (d, n[i])]), size) for i in (0, 1))
+    group = lambda i: size.cast("long") * 1_000_000_000 + i
+    row = F.xxhash64("vec_id", "embedding")
+    placed = vectors.where(size.isin(list(dealt))).withColumn("shard", F.pmod(row, shards.cast("long")).cast("int"))
+    placed = placed.select(group(F.col("shard") % parts).alias("grp"), "shard", F.lit(0).alias("copy"), "vec_id", "embedding")
     # queries that share an id are told apart by the order of their vectors' hashes
     twins = Window.partitionBy("vec_id").orderBy(F.xxhash64("embedding"))
-    asked = asked.withColumn("copy", F.row_number().over(twins)).withColumn("d", F.size("embedding")).where(F.col("d").isin(list(many))).groupBy("d", F.pmod(F.xxhash64("vec_id", "copy"), F.lit(blocks)).alias("b"))
-    asked = asked.agg(F.collect_list(F.struct("vec_id", "copy", "embedding")).alias("r")).select("d", "b", F.col("r.vec_id").alias("q_ids"), F.col("r.copy").alias("q_copies"), F.flatten("r.embedding").alias("q"))
-    counted = F.element_at(counts, F.col("d")).cast("long")
-    asked = asked.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), counted - 1), lambda i: F.col("d").cast("long") * width + i)))
-    met = asked.repartition(max(sum(many.values()), shuffle_width(spark)), "shard", "b").join(index, "shard").select("n", "ids", "x", "edges", "q_ids", "q_copies", "q")
-    found = met.mapInArrow(_search(k, beam), "query_id long, copy int, vec_id long, score double")
+    asked = asked.withColumn("copy", F.row_number().over(twins)).where(size.isin(list(dealt)))
+    asked = asked.select(F.explode(F.sequence(group(F.lit(0)), group(parts - 1))).alias("grp"), F.lit(QUERIES).alias("shard"), "copy", "vec_id", "embedding")
+    # more partitions than groups, so that few of them share one
+    met = placed.union(asked).repartition(max(4 * sum(n for _, n in dealt.values()), shuffle_width(spark)), "grp").sortWithinPartitions("grp", "shard")
+    found = scratch.save(met.mapInArrow(_serve(k, degree, beam, alpha), "query_id long, copy int, vec_id long, score double"))
     order = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

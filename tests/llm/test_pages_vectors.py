@@ -197,6 +197,43 @@ def test_nearest_repeated_ids(spark):
     assert {k: sorted(a) for k, a in got.items()} == {k: sorted(a) for k, a in want.items()}
 
 
+def shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_nearest_moves_vectors_once_and_queries_once_a_group(spark):
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(3000, 24)).astype(np.float32)
+    d = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    before = shuffled(spark)
+    got = defaultdict(set)
+    for r in ann.nearest(d, d.where("vec_id % 50 = 0"), shard=10).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert shuffled(spark) - before < 4 * x.nbytes  # 300 shards
+    want = brute(dict(enumerate(x)), range(0, 3000, 50), 5)
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.95
+
+
+def test_nearest_groups():
+    assert ann.groups(51_282, 1_026, 64, ann.SHARD) == (9, 9)
+    assert ann.groups(15_000_000, 300_000, 64, ann.SHARD) == (2500, 50)
+    shards, parts = ann.groups(75_000_000, 1_500_000, 64, ann.SHARD)
+    assert 75_000_000 / parts * 64 * 4 <= ann.GROUP_BYTES and parts * 1_500_000 <= 4 * 75_000_000
+    assert ann.groups(5, 0, 3, ann.SHARD) == (1, 1)
+
+
+def test_nearest_among_copies_with_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0])] * 9 + [(i, [1.0, 2.0]) for i in (1, 1, 2, 3)] + [(4, [2.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"]) for r in ann.nearest(v, v.where("vec_id = 0").limit(1), k=3).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 1), (3, 2)]
+    many = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50_000)] + [(7, [1.0, 2.0])] * 100, "vec_id long, embedding array<float>")
+    got = [(r["rank"], r["vec_id"]) for r in ann.nearest(many, v.where("vec_id = 3"), k=3, shard=100_000).orderBy("rank").collect()]
+    assert got == [(1, 0), (2, 1), (3, 2)]
+
+
 def test_components(spark):
     rnd = random.Random(4)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(rnd.randrange(200, 300), rnd.randrange(200, 300)) for _ in range(90)] + [(7, 7), (None, 3), (3, None), (1, 0)]
