@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +29,16 @@ from .scratch import Scratch, shuffle_width
 
 #: Bytes, about, of the words as they stand and of the stems whose ids a Python worker keeps, and the longest of them.
 CACHE_BYTES, CACHED_LENGTH = 150_000_000, 32
+#: Bytes of texts that are cut into words at once.
+BLOCK_BYTES = 1_000_000
 ENTRY = 150  # two small objects and a place in the table
 _tokenizers: dict[str, tuple] = {}
 #: Characters that Python takes for white space and the tokenizer does not.
 _ODD = "\x1c\x1d\x1e\x1f"
 #: Letters that no normalisation but lower-casing changes, then signs that form one more
 #: token group; the apostrophe has rules of its own.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
@@ -48,19 +53,20 @@ _BYTE_LETTERS = _byte_letters()
 
 
 class _Cache:
-    """Ids of words; ``trim`` empties it when it outgrows its share of memory.
+    """Ids of words in two generations: ``trim`` lets the older one go when the younger outgrows half of the share of memory.
 
-    ``ids`` is a plain dict: a set is compared with one by looking its own members up.
+    ``ids`` is the younger, a plain dict: a set is compared with one by looking its own
+    members up.  What is asked for again moves over from ``old``.
     """
 
     def __init__(self):
         self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.used = 0
 
     def trim(self, share: float) -> None:
-        if self.used > share * CACHE_BYTES:
-            self.ids.clear()
-            self.used = 0
+        if self.used > share * CACHE_BYTES / 2:
+            self.old, self.ids, self.used = self.ids, {}, 0
 
 
 def _tokenizer(path: str):
@@ -72,52 +78,87 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
-def _word_ids(word: str, path: str) -> bytes:
-    tokenizer, model, _, stems = _tokenizer(path)
-    plain = _PLAIN.fullmatch(word)
-    if not plain:
+def _keep(cache: _Cache, word: str, make) -> bytes:
+    """A word's ids, kept unless it is long."""
+    ids = cache.ids.get(word)
+    if ids is None:
+        ids = cache.old.get(word)
+        if ids is None:
+            ids = make(word)
+        if len(word) <= CACHED_LENGTH:
+            cache.ids[word] = ids
+            cache.used += ENTRY + len(word) + len(ids)
+    return ids
+
+
+def _all(cache: _Cache, words: pa.Array, make) -> list[bytes]:
+    names = words.to_numpy(zero_copy_only=False).tolist()
+    found = list(map(cache.ids.get, names))
+    for i, ids in enumerate(found):
+        if ids is None:
+            found[i] = _keep(cache, names[i], make)
+    return found
+
+
+def _deal(ids: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries that ``places`` names, one after the other, and where each ends; ``sizes``: of all entries."""
+    many = sizes[places]
+    ends = np.cumsum(many)
+    shift = (np.cumsum(sizes) - sizes)[places] - (ends - many)
+    return ids[np.repeat(shift, many) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def _table(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct words, one after the other, and how many each has."""
+    tokenizer, model, whole, stems = _tokenizer(path)
+
+    def part_ids(part: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        found = [t.id for t in model.tokenize(letters)] if letters else []
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def word_ids(word: str) -> bytes:
+        if plain := _PLAIN.fullmatch(word):
+            return _keep(stems, plain[1].lower(), part_ids) + _keep(stems, plain[2], part_ids)
         return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-    out = []
-    for part in (plain[1].lower(), plain[2]):
-        if part:
-            ids = stems.ids.get(part)
-            if ids is None:
-                letters = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                found = [t.id for t in model.tokenize(letters)]
-                ids = struct.pack(f"<{len(found)}I", *found)
-                if len(part) <= CACHED_LENGTH:
-                    stems.ids[part] = ids
-                    stems.used += ENTRY + len(part) + len(ids)
-            out.append(ids)
-    return b"".join(out)
+
+    # words of ASCII letters and signs are cut by columns; the pattern has the others
+    letters = pc.utf8_rtrim(words, characters=_SIGNS)
+    cut = pc.ascii_is_alpha(letters)
+    heads = pc.ascii_lower(letters.filter(cut)).dictionary_encode()
+    tails = pc.utf8_ltrim(words.filter(cut), characters=_LETTERS).dictionary_encode()
+    parts = [*_all(stems, heads.dictionary, part_ids), *_all(stems, tails.dictionary, part_ids), *_all(whole, words.filter(pc.invert(cut)), word_ids), b""]
+    # each word is two of the parts, the last of which is empty
+    cut = cut.to_numpy(zero_copy_only=False)
+    first, second = (np.full(len(words), len(parts) - 1) for _ in range(2))
+    first[cut] = heads.indices.to_numpy()
+    second[cut] = len(heads.dictionary) + tails.indices.to_numpy()
+    first[~cut] = len(heads.dictionary) + len(tails.dictionary) + np.arange(len(words) - len(heads))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    flat, _ = _deal(np.frombuffer(b"".join(parts), "<u4"), sizes, np.stack([first, second], 1).ravel())
+    return flat, sizes[first] + sizes[second]
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never merges across it, nor across the border
-    of letters and signs, so ids are looked up word by word.  Exactly the tokenizer's
-    own ids for the whole text (tested).  Long words, and texts that can't be cut into
-    words here, are not kept.
+    of letters and signs, so ids are looked up once for each distinct word and dealt to
+    its places by numpy.  Exactly the tokenizer's own ids for the whole text (tested).
+    Long words, and texts that can't be cut into words here, are not kept.
     """
-    _, _, cache, stems = _tokenizer(path)
-    cache.trim(0.5)
-    stems.trim(0.5)
-    known = cache.ids
-    words = [[t] if any(c in t for c in _ODD) else t.split() for t in texts]
-    long: dict[str, bytes] = {}
-    used = entries = 0
-    for w in set().union(*words).difference(known):
-        ids = _word_ids(w, path)
-        if len(w) <= CACHED_LENGTH:
-            known[w] = ids
-            used += len(w) + len(ids)
-            entries += 1
-        else:
-            long[w] = ids
-    cache.used += used + ENTRY * entries
-    find = (lambda w: long[w] if len(w) > CACHED_LENGTH else known[w]) if long else known.__getitem__
-    return [b"".join(map(find, ws)) for ws in words]
+    tokenizer, _, whole, stems = _tokenizer(path)
+    whole.trim(0.25)
+    stems.trim(0.75)
+    odd = [any(c in t for c in _ODD) for t in texts]
+    words = pc.utf8_split_whitespace(pa.array(["" if o else t for o, t in zip(odd, texts)], pa.large_string()))
+    coded = words.flatten().dictionary_encode()
+    flat, ends = _deal(*_table(coded.dictionary, path), coded.indices.to_numpy())
+    bounds = np.append(0, ends)[words.offsets.to_numpy()].tolist()
+    return [
+        np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if o else flat[a:b].tobytes()
+        for t, o, a, b in zip(texts, odd, bounds, bounds[1:])
+    ]
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -129,7 +170,7 @@ def _pieces(path: str, capacity: int, end_id: int):
             a, n = 0, batch.num_rows
             sizes = np.cumsum([len(x) if x is not None else 0 for x in (v.as_buffer() for v in batch.column("text").cast(pa.large_string()))])
             while a < n:
-                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + 1_000_000, "right")))
+                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + BLOCK_BYTES, "right")))
                 ids = batch.column("doc_id").slice(a, b - a).to_pylist()
                 texts = [t or "" for t in batch.column("text").slice(a, b - a).to_pylist()]
                 rows = []

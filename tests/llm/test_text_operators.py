@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -266,6 +267,29 @@ def test_plan_is_gapless_and_tight(seed):
     assert len(bins) <= math.ceil(total / 4096) * 1.25 + 2
 
 
+def test_encode_looks_distinct_words_up_once():
+    path = queries.tokenizer_path()
+    calls = 0
+
+    def count(*_):
+        nonlocal calls
+        calls += 1
+
+    text = "The cat, it's \u00c9t\u00e9. " * 20_000 + "x" * 40
+    packing.encode(["warm up"], path)
+    sys.setprofile(count)
+    try:
+        (data,) = packing.encode([text], path)
+    finally:
+        sys.setprofile(None)
+    assert calls < 5_000  # 80,001 words
+    t = packing._tokenizer(path)[0]
+    assert np.frombuffer(data, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    texts = ["", " ", "\x00a b\x00", "!!! a'b' 'a, A1, b-c, \u0130x \u017f K\u212a. \xa0z\x85y\u3000x", "a\x1cb c", "Q" * 50 + "?", "?" * 50]
+    for text, data in zip(texts, packing.encode(texts, path)):
+        assert np.frombuffer(data, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_encode_keeps_few_bytes():
     path = queries.tokenizer_path()
     rnd = random.Random(6)
