@@ -37,9 +37,10 @@ _tokenizers: dict[str, tuple] = {}
 _ODD = "\x1c\x1d\x1e\x1f"
 #: Letters that no normalisation but lower-casing changes, then signs that form one more
 #: token group; the apostrophe has rules of its own.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+#: The pattern's ASCII letters and its signs.
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -55,8 +56,7 @@ _BYTE_LETTERS = _byte_letters()
 class _Cache:
     """Ids of words in two generations: ``trim`` lets the older one go when the younger outgrows half of the share of memory.
 
-    ``ids`` is the younger, a plain dict: a set is compared with one by looking its own
-    members up.  What is asked for again moves over from ``old``.
+    ``ids`` is the younger; what is asked for again moves over from ``old``.
     """
 
     def __init__(self):
