@@ -2,7 +2,8 @@
 
 ``SHARED`` runs as it stands on Spark and on the oracle; ``PAIRED`` has one text for
 each where the dialects differ.  ``scenarios`` holds queries made with the DataFrame
-API, the recursive operator or the statement front end.
+API, the recursive operator or the statement front end.  ``wide`` runs some of
+``SHARED`` in another form on Spark.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scenarios
+from . import scenarios, wide
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -217,7 +218,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _sql(text) for name, text in SHARED.items()}
     out |= {name: _sql(text) for name, (text, _) in PAIRED.items()}
-    return out | scenarios.queries()
+    return out | wide.queries() | scenarios.queries()
 
 
 def oracle_sql() -> dict[str, str]:
