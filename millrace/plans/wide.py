@@ -8,8 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import relational
 from ..operators.blocks import blocked_join
+from ..operators.ranks import row_numbers
 
 
 def join_self(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +23,14 @@ def join_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocked_join(a, b, keys, "a_key < b_key").select("a_key", "b_key")
 
 
-_QUERIES = (join_self,)
+def win_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = o.select("o_orderkey", "o_orderstatus", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("p"))
+    orders = {"up": [relational.asc("p")], "down": [relational.desc("p")]}
+    return row_numbers(o, ["o_orderstatus"], ["p"], "o_orderkey", orders).select("o_orderkey", "up", "down")
+
+
+_QUERIES = (join_self, win_nulls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

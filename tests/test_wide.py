@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.plans import catalogue
 
+duckdb = pytest.importorskip("duckdb")
+
 NAN = float("nan")
 
 
@@ -45,3 +47,48 @@ def test_join_self_deals_out_a_large_key(spark, customers, monkeypatch):
 def test_join_self_without_pairs(spark, tmp_path):
     spark.createDataFrame([], "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     assert catalogue.queries()["join_self"](spark, str(tmp_path)).collect() == []
+
+
+@pytest.fixture
+def orders(spark, tmp_path):
+    """A status with most rows, null statuses, priorities and keys, keys far apart, and a row that occurs twice."""
+    data = [(i * i if i % 2 else -i, "F" if i % 10 else "O", f"{i % 4}-X" if i % 7 else "5-LOW") for i in range(2000)]
+    data += [(100_000 + i, None, None if i % 2 else "5-LOW") for i in range(50)] + [(None, "F", "1-X"), (None, "O", None), (2**60, "F", "2-X"), (7777, "F", "1-X"), (7777, "F", "1-X")]
+    spark.createDataFrame(data, "o_orderkey long, o_orderstatus string, o_orderpriority string").repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    return str(tmp_path)
+
+
+def oracle(folder, table, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    return con.sql(catalogue.oracle_sql()[name]).fetchall()
+
+
+@pytest.mark.parametrize("most", [100, 1 << 19])
+def test_win_nulls_cuts_a_large_partition(spark, orders, monkeypatch, most):
+    from millrace.operators import ranks
+
+    monkeypatch.setattr(ranks, "ROWS", most)
+    out = catalogue.queries()["win_nulls"](spark, orders)
+    got, want = [tuple(r) for r in out.collect()], oracle(orders, "orders", "win_nulls")
+    # the SQL leaves open which of two equal rows comes first, in each of its orders
+    for column in (1, 2):
+        assert Counter((r[0], r[column]) for r in got) == Counter((r[0], r[column]) for r in want)
+    if most == 100:
+        assert max(by_task(out).values()) < 2 * most
+
+
+def test_win_nulls_with_values_beyond_the_broadcast(spark, orders, monkeypatch):
+    from millrace.operators import ranks
+
+    monkeypatch.setattr(ranks, "ROWS", 100)
+    monkeypatch.setattr(ranks, "FEW", 5)
+    got = [tuple(r) for r in catalogue.queries()["win_nulls"](spark, orders).collect()]
+    want = oracle(orders, "orders", "win_nulls")
+    for column in (1, 2):
+        assert Counter((r[0], r[column]) for r in got) == Counter((r[0], r[column]) for r in want)
+
+
+def test_win_nulls_without_rows(spark, tmp_path):
+    spark.createDataFrame([], "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert catalogue.queries()["win_nulls"](spark, str(tmp_path)).collect() == []
