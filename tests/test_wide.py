@@ -92,3 +92,16 @@ def test_win_nulls_with_values_beyond_the_broadcast(spark, orders, monkeypatch):
 def test_win_nulls_without_rows(spark, tmp_path):
     spark.createDataFrame([], "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     assert catalogue.queries()["win_nulls"](spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("few", [1, 1 << 17])
+@pytest.mark.parametrize("name", ["win_rank", "win_range_peers", "win_partition_agg", "win_expr_partition"])
+def test_windows_on_few_partitions(spark, customers, monkeypatch, name, few):
+    from millrace.operators import ranks
+
+    monkeypatch.setattr(ranks, "ROWS", 100)
+    monkeypatch.setattr(ranks, "FEW", few)
+    out = catalogue.queries()[name](spark, customers)
+    assert Counter(map(repr, map(tuple, out.collect()))) == Counter(map(repr, oracle(customers, "customer", name)))
+    assert max(by_task(out).values()) < 600 or few == 1
+    assert dict(out.dtypes) == dict(spark.sql(catalogue.SHARED[name]).dtypes)
